@@ -208,7 +208,7 @@ def test_min_cut_is_minimal():
 
 
 def test_licenses(spark, edges, empty):
-    texts = ["All rights reserved.\nThis work is licensed under the GNU General Public License, version 3.", "x. Released under the MIT License. y", "Licensed under the Apache License, Version 2.0. Then: You may not use this file except in compliance with the License.", "nothing", None]
+    texts = ["All rights reserved.\nThis work is licensed under the GNU General Public License, version 3.", "x. Released under the MIT License. y", "Licensed under the Apache License, Version 2.0. Then. You may not use this file except in compliance with the License.", "nothing", None]
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, license int")
     got = [(r["sentence_ids"], r["license"]) for r in licenses.scan(rows).orderBy("doc_id").collect()]
     assert got == [("RESERVED,GPL3", "gpl-reserved"), ("MIT", "mit"), ("APACHE2,APACHE2-USE", "apache-2.0-full"), ("", "none"), ("", "none")]
