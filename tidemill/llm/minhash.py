@@ -7,10 +7,12 @@ Jaccard on the full sets confirms them. Links are closed to components.
 Scale: equal sets collapse to one representative first, by a grouped minimum. Two sets with Jaccard
 >= t share, but for a chance below 1e-8, at least 0.4 k of their union's k smallest values, so a sketch
 may leave its 0.4 k - 1 most frequent values out of the index (prefix filter): passages that many
-documents share are mostly not indexed. Within a list no pairs are enumerated: each round links every
-member with a few leaders (1, 2, 4, ... a round), members that are already connected need no further
-test, and leaders leave their lists, so that a group of n near copies costs about n pairs. The rounds end when no
-list holds two components; they double, so their number is logarithmic in the longest list.
+documents share are mostly not indexed. Within a list no
+pairs are enumerated. The first round links each member with the list's head, the document with the fewest values of its own,
+which is the likely original. Members of lists that still hold two components get a second index, over the rarest shingles of
+their full sets, with the positional bound of prefix-filtered joins: what lies before the rarest shared shingle is in no
+intersection, so members that can reach no other are never paired. Its rounds link the members with 4, 32, 256, ... leaders that then leave their lists,
+until no list holds two components; their number is logarithmic in the longest list. A group of n near copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -51,45 +53,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = reps.select("rep", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     freq = rows.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
     by_rarity = F.sort_array(F.collect_list(F.struct("freq", "value")))  # at most k values a document
-    shared = rows.join(freq, "value").groupBy("rep", "s").agg(by_rarity.alias("vs"))
-    take = F.col("s") - F.ceil(F.col("s") * SHARE).cast("int") + 1 - (F.col("s") - F.size("vs"))
-    lists = stored(spark, shared.select("rep", F.explode(F.slice("vs", 1, F.greatest(take, F.lit(0)))).alias("x")).select(F.col("x.value").alias("value"), "rep"))
-
-    heads = lists.groupBy("value").agg(F.min("rep").alias("lead"), F.count("*").alias("len")).where("len > 1").drop("len")
-    member = lists.join(heads, "value")
-    pairs = member.where("rep <> lead").selectExpr("lead AS a", "rep AS b")
-    left = member.where("rep <> lead").select("value", "rep")
-    links = comp = known = None
-    leaders = 1
+    shared = rows.join(freq, "value").groupBy("rep", "s").agg(by_rarity.alias("vs")).withColumn("own", F.col("s") - F.size("vs"))
+    take = F.col("s") - F.ceil(F.col("s") * SHARE).cast("int") + 1 - F.col("own")
+    lists = stored(spark, shared.select("rep", "own", F.explode(F.slice("vs", 1, F.greatest(take, F.lit(0)))).alias("x")).select(F.col("x.value").alias("value"), "rep", "own"))
+    cand = _candidates(spark, docs, lists, id_col, text_col, width, k)
+
+    heads = lists.groupBy("value").agg(F.min(F.struct("own", "rep")).alias("h")).select("value", F.col("h.rep").alias("lead"))
+    met = lists.join(heads, "value").where("rep <> lead")
+    pairs = met.selectExpr("least(rep, lead) AS a", "greatest(rep, lead) AS b").distinct()
+    links, comp = _linked(spark, pairs, cand, percent, k, None, None)
+    open_ = _mixed(_with_component(met.select("value", "rep"), comp))
+    lists2 = stored(spark, _prefix_lists(cand, open_.select(F.col("rep").alias("id")).distinct(), percent))
+    dropped(spark, lists)
+    lists = stored(spark, _with_component(lists2, comp))
+    dropped(spark, lists2)
+
+    fits = f"100 * least(i, li) >= {percent} * (n + ln - least(i, li))"
+    leaders = 4
     while True:
-        close = stored(spark, _estimated(pairs.distinct(), reps, k))
-        if close.isEmpty():
-            found = None
-        else:
-            known = _with_sets(spark, close, docs, known, id_col, text_col, width)
-            found = stored(spark, _confirmed(close, known, percent))
-        dropped(spark, close)
-        if found is not None and not found.isEmpty():
-            links = found if links is None else links.union(found)
-            comp = stored(spark, connected_components(spark, links))
-        if comp is None:
-            active = left.selectExpr("value", "rep", "rep AS c")
-        else:
-            active = left.join(comp.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("value", "rep", "coalesce(component, rep) AS c")
-        mixed = active.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-        ranked = active.join(mixed, "value").withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("c"), F.desc("rep"))))
-        old, left = left, stored(spark, ranked)
-        dropped(spark, old)
-        if left.isEmpty():
+        order = Window.partitionBy("value").orderBy(F.desc("c"), F.desc("i"), "rep")
+        ranked = stored(spark, _mixed(lists).withColumn("r", F.row_number().over(order)))
+        dropped(spark, lists)
+        if ranked.isEmpty():
+            dropped(spark, ranked)
             break
-        lead = left.where(F.col("r") <= leaders).selectExpr("value", "rep AS lead", "c AS lc", "r AS lr")
+        lead = ranked.where(F.col("r") <= leaders).selectExpr("value", "rep AS lead", "c AS lc", "r AS lr", "n AS ln", "i AS li")
         # a leader meets each later member of another component once
-        pairs = left.join(lead, "value").where("c <> lc AND r > lr").selectExpr("least(rep, lead) AS a", "greatest(rep, lead) AS b")
-        left_next = left.where(F.col("r") > leaders).select("value", "rep")
-        left_next._tidemill_path = left._tidemill_path
-        left = left_next
-        leaders *= 2
-    dropped(spark, lists, known)
+        pairs = ranked.join(lead, "value").where(f"c <> lc AND r > lr AND {fits}").selectExpr("least(rep, lead) AS a", "greatest(rep, lead) AS b").distinct()
+        links, comp = _linked(spark, pairs, cand, percent, k, links, comp)
+        lists = stored(spark, _with_component(ranked.where(F.col("r") > leaders).select("value", "rep", "n", "i"), comp))
+        dropped(spark, ranked)
+        leaders *= 8
+    dropped(spark, cand)
 
     keyed = base.join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
     if comp is not None:
@@ -98,29 +93,61 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+def _candidates(spark: SparkSession, docs: DataFrame, lists: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
+    """id, n, sketch and grams (the full set) of the documents that share a list."""
+    ids = lists.join(lists.groupBy("value").agg(F.count("*").alias("len")).where("len > 1"), "value").select(F.col("rep").alias("id")).distinct()
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").dropDuplicates(["id"])
+    return stored(spark, shingle_sets(some, "id", "text", width).select("id", F.size("grams").alias("n"), F.slice("grams", 1, k).alias("sketch"), "grams"))
+
+
+def _prefix_lists(cand: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """value, rep, n, i: inverted lists of the rarest shingles of the full sets of ids, as many as a link needs one of.
+
+    i: the most that an intersection can hold whose rarest shingle is this one. Linked sets pass that bound at the rarest
+    shingle they share, so pairs that fail it need no test there.
+    """
+    grams = cand.join(ids, "id").select("id", "n", F.explode("grams").alias("value"))
+    df = grams.groupBy("value").agg(F.count("*").alias("df"))
+    placed = grams.join(df, "value").withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("df", "value")))
+    reach = placed.withColumn("i", F.expr("n - p + 1")).where(f"df > 1 AND 100 * i >= {percent} * n")
+    return reach.selectExpr("value", "id AS rep", "n", "i")
+
+
+def _with_component(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return lists.withColumn("c", F.col("rep"))
+    return lists.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The lists that hold two components."""
+    return lists.join(lists.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value"), "value")
+
+
+def _linked(spark: SparkSession, pairs: DataFrame, cand: DataFrame, percent: int, k: int, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """links and their components, with those of pairs that hold."""
+    close = stored(spark, _estimated(pairs, cand, k))
+    found = stored(spark, _confirmed(close, cand, percent))
+    dropped(spark, close)
+    if found.isEmpty():
+        return links, comp
+    links = found if links is None else links.union(found)
+    new = stored(spark, connected_components(spark, links))
+    dropped(spark, comp)
+    return links, new
+
+
+def _estimated(pairs: DataFrame, cand: DataFrame, k: int) -> DataFrame:
     """Pairs whose sketches have at least SHARE of their union's k smallest values in common."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: cand.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     both = j.select("a", "b", F.array_intersect("sa", "sb").alias("i"), union.alias("u"))
     return both.where(F.size(F.array_intersect("i", "u")) >= F.lit(SHARE) * F.size("u")).select("a", "b")
 
 
-def _with_sets(spark: SparkSession, close: DataFrame, docs: DataFrame, known: DataFrame | None, id_col: str, text_col: str, width: int) -> DataFrame:
-    """known, and the full sets of the documents of close that it lacks."""
-    ids = close.selectExpr("a AS id").union(close.selectExpr("b AS id")).distinct()
-    if known is not None:
-        ids = stored(spark, ids.join(known, "id", "left_anti"))
-        if ids.isEmpty():
-            return known
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id").dropDuplicates(["id"])
-    new = stored(spark, shingle_sets(some, "id", "text", width))
-    return new if known is None else stored(spark, known.union(new))
-
-
-def _confirmed(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"g{x}"))
+def _confirmed(close: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
+    side = lambda x: cand.select(F.col("id").alias(x), F.col("grams").alias(f"g{x}"))
     j = close.join(side("a"), "a").join(side("b"), "b")
     n = j.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("s"))
     return n.where(F.expr(f"100 * i >= {percent} * (s - i)")).select("a", "b")
