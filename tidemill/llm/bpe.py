@@ -10,7 +10,10 @@ which moves every word of the corpus twice. The piece table has the vocabulary's
 
 from __future__ import annotations
 
+import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +29,13 @@ CONTROL = re.compile("[\x1c-\x1f]")
 #: White space as the tokenizer's patterns have it.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
+#: Marks that the tokenizer never joins to letters.
+MARKS = ",.!?;:"
+
 
 @lru_cache(maxsize=4)
 def _tokenizer(definition: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
@@ -42,10 +49,19 @@ def _split(text: str) -> list[str]:
 
 
 class WordTable(dict):
-    """word -> place in `ids`, a list of id arrays."""
+    """word -> place; at[place] to at[place + 1] are the word's ids in `flat`."""
 
     def __init__(self, definition: str, most: int):
-        self.encoder, self.most, self.ids = _tokenizer(definition), most, []
+        self.encoder, self.most = _tokenizer(definition), most
+        self.parts: dict[str, list[int]] = {}
+        self.flat, self.at = array("i"), array("q", [0])
+
+    def _split_off(self, w: str) -> tuple[str, str]:
+        """A word's letters and the marks behind them, which the tokenizer splits there as well; otherwise the whole word."""
+        core = w.rstrip(MARKS)
+        if not core.isalpha():
+            return w, ""
+        return core.lower() if core.isascii() else core, w[len(core) :]
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self]
@@ -53,22 +69,32 @@ class WordTable(dict):
             return
         if len(self) + len(new) > self.most:
             self.clear()
-            self.ids = []
+            self.parts.clear()
+            self.flat, self.at = array("i"), array("q", [0])
             new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.encoder.encode_batch(new, add_special_tokens=False)):
-            self[w] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.int32))
+        split = [self._split_off(w) for w in new]
+        unknown = [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in self.parts]
+        self.parts.update((x, e.ids) for x, e in zip(unknown, self.encoder.encode_batch_fast(unknown, add_special_tokens=False)))
+        for w, (core, tail) in zip(new, split):
+            self[w] = len(self.at) - 1
+            self.flat.extend(self.parts[core])
+            if tail:
+                self.flat.extend(self.parts[tail])
+            self.at.append(len(self.flat))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids, and how many each word has."""
+        """All words' ids, and how many each word has: the table joined to the words by position."""
         self.learn(words)
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        got = [self.ids[self[w]] for w in words]
-        return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        flat, at = np.array(self.flat, np.int32), np.array(self.at, np.int64)
+        sizes = at[place + 1] - at[place]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(at[place] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
 
-def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 300_000) -> DataFrame:
     """docs with ids (array of int); an older column ids is replaced. definition: the tokenizer's JSON text.
 
     The ids are those of encode(text, add_special_tokens=False) on the whole text. It holds for tokenizers whose normaliser and splitting work word
@@ -90,8 +116,10 @@ def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words
 
 
 def pieces(definition: str) -> list[str]:
-    t = _tokenizer(definition)
-    return [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
+    """id -> piece."""
+    d = json.loads(definition)
+    by_id = {i: w for w, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d["added_tokens"]}
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
 
 
 def decode(encoded: DataFrame, definition: str, ids_col: str = "ids") -> DataFrame:
