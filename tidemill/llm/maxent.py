@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .batches import cut
 from .shared import LOWER, dropped, stored
 
-TOPS = 24  # words with a class of their own
-CLASSES = 64  # 0: the end; 1..TOPS; the rest by ending
+TOPS = 48  # words with a class of their own
+CLASSES = 128  # 0: the end; 1..TOPS; the rest by ending
 ENDINGS = CLASSES - 1 - TOPS
 PREV = 256  # buckets of the previous word: 0 the start, 1..127 frequent words, the rest by ending
 OWN = 127
@@ -42,8 +42,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_key(w: bytes) -> int:
-    """64 bits: a hash, its last six bits replaced by the ending's number."""
-    h = (xxhash.xxh64_intdigest(w) & ~63) | (zlib.crc32(w[-3:]) % ENDINGS)
+    """64 bits: a hash, its last seven bits replaced by the ending's number."""
+    h = (xxhash.xxh64_intdigest(w) & ~127) | (zlib.crc32(w[-3:]) % ENDINGS)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -71,9 +71,9 @@ class Coder(dict):
         k = word_key(w)
         i = int(np.searchsorted(self.keys, k))
         rank = int(self.order[i]) if i < len(self.keys) and self.keys[i] == k else -1
-        end = k & 63
+        end = k & 127
         cls = 1 + rank if 0 <= rank < TOPS else 1 + TOPS + end
-        bucket = 1 + rank if 0 <= rank < OWN else 1 + OWN + end * 3 + (k >> 6) % 3
+        bucket = 1 + rank if 0 <= rank < OWN else 1 + OWN + end
         code = cls | min(bucket, PREV - 1) << 8 | rank << 20
         if len(self) < self.most:
             self[w] = code
@@ -118,7 +118,7 @@ def held_out(ident, folds: int = 7, fold: int = 2):
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: int = 1 << 17, passes: int = 12, rate: float = 0.35, ridge: float = 1.0) -> Model:
+def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: int = 1 << 17, passes: int = 20, rate: float = 0.35, ridge: float = 1.0) -> Model:
     """Learn from all rows of docs. Null texts count as empty ones (an end each). Without any row the model is uniform over classes."""
     source = docs.select(F.col(text_col).alias("text"))
 
@@ -144,17 +144,17 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: i
 
     table = stored(spark, source.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     only = table.where("key IS NOT NULL")
-    per = only.selectExpr("key & 63 AS e", "c").groupBy("e").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    per = only.selectExpr("key & 127 AS e", "c").groupBy("e").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     texts = (table.where("key IS NULL").agg(F.sum("c")).first() or [0])[0] or 0
-    top = only.orderBy(F.desc("c"), "key").limit(known).toPandas()
+    top = _most_frequent(only, known)
     total, distinct = sum(r["n"] for r in per) + texts, sum(r["v"] for r in per) + (texts > 0)
     class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in per:
         class_total[1 + TOPS + r["e"]], class_distinct[1 + TOPS + r["e"]] = r["n"], r["v"]
     top = top.sort_values(["c", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
     for k, c in zip(top["key"][:TOPS], top["c"][:TOPS]):
-        class_total[1 + TOPS + (k & 63)] -= c
-        class_distinct[1 + TOPS + (k & 63)] -= 1
+        class_total[1 + TOPS + (k & 127)] -= c
+        class_distinct[1 + TOPS + (k & 127)] -= 1
     by_key = np.argsort(top["key"].to_numpy(), kind="stable")
     keys, order = top["key"].to_numpy(np.int64)[by_key], by_key.astype(np.int64)
     counts = top["c"].to_numpy(np.int64)
@@ -179,7 +179,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: i
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part])], names=["cell", "n"])
 
     gathered = source.mapInArrow(gather, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    shards = stored(spark, gathered.withColumn("shard", F.expr(f"pmod(hash(cell div {CLASSES}), 8)")).repartition(8, "shard"))
+    shards = stored(spark, gathered.withColumn("shard", F.expr(f"pmod(hash(cell div {CLASSES}), 4)")).repartition(4, "shard"))
     weights, curve = np.zeros((FEATURES, CLASSES)), None
     for _ in range(passes):
         got = shards.mapInArrow(_gradient(weights), "g binary, h binary").collect()
@@ -192,6 +192,17 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: i
     return Model(weights.astype(np.float32), keys, order, counts, int(total), int(distinct), int(texts), class_total, class_distinct, table)
 
 
+def _most_frequent(table: DataFrame, most: int):
+    """At most `most` of the most frequent keys: those above a count that a histogram of the counts' logarithms gives."""
+    level = F.floor(F.log2("c") * 256)
+    at, room = None, most
+    for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if r["n"] > room:
+            break
+        at, room = r["level"], room - r["n"]
+    return table.where(level >= at if at is not None else F.lit(False)).toPandas()
+
+
 def _gradient(weights: np.ndarray):
     """Gradient and diagonal curvature of a shard's log likelihood."""
     w = weights.astype(np.float32)
