@@ -46,8 +46,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their digest and that of the decoded text."""
-    ids = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
-    return bpe.decode(ids, vocabulary()).select("doc_id", "ids", *bpe.digests())
+    return bpe.round_trip(docs.select("doc_id", "text"), vocabulary()).select("doc_id", "ids", *bpe.digests())
 
 
 STAGES = [("language", language), ("quality", rules), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("bpe", encoded)]

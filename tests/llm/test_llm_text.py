@@ -59,6 +59,8 @@ def test_bpe_is_the_library(spark, small, edges):
     assert got == want
     out = bpe.decode(bpe.encode(edges, queries.vocabulary(), table_words=5), queries.vocabulary()).collect()
     assert len(out) == len(EDGES)
+    trip = bpe.round_trip(edges, queries.vocabulary(), table_words=5).drop("lang").collect()
+    assert sorted(str((r["doc_id"], r["ids"], r["decoded"])) for r in trip) == sorted(str((r["doc_id"], r["ids"], r["decoded"])) for r in out)
     for r in out:
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)

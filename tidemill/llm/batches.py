@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,5 +30,21 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 
 
+def releasing(run: Callable, *caches) -> Callable:
+    """run, after which the worker, which Spark keeps for other tasks, drops these caches and returns its free memory."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        for c in caches:
+            c.cache_clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return wrapped
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

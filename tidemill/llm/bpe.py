@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut, with_fields
+from .batches import cut, releasing, with_fields
 
 #: Characters that str.split() takes as white space and the tokenizer doesn't.
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -53,7 +53,7 @@ class WordTable(dict):
 
     def __init__(self, definition: str, most: int):
         self.encoder, self.most = _tokenizer(definition), most
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, array] = {}
         self.flat, self.at = array("i"), array("q", [0])
 
     def _split_off(self, w: str) -> tuple[str, str]:
@@ -74,7 +74,9 @@ class WordTable(dict):
             new = list(dict.fromkeys(words))
         split = [self._split_off(w) for w in new]
         unknown = [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in self.parts]
-        self.parts.update((x, e.ids) for x, e in zip(unknown, self.encoder.encode_batch_fast(unknown, add_special_tokens=False)))
+        for at in range(0, len(unknown), 1000):  # the library's results are large objects
+            few = unknown[at : at + 1000]
+            self.parts.update((x, array("i", e.ids)) for x, e in zip(few, self.encoder.encode_batch_fast(few, add_special_tokens=False)))
         for w, (core, tail) in zip(new, split):
             self[w] = len(self.at) - 1
             self.flat.extend(self.parts[core])
@@ -94,7 +96,7 @@ class WordTable(dict):
         return flat[np.repeat(at[place] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
 
-def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
     """docs with ids (array of int); an older column ids is replaced. definition: the tokenizer's JSON text.
 
     The ids are those of encode(text, add_special_tokens=False) on the whole text. It holds for tokenizers whose normaliser and splitting work word
@@ -102,17 +104,20 @@ def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words
     comes back. An empty table gives an empty result.
     """
     source = docs.select(*[c for c in docs.columns if c != "ids"])
+    return source.mapInArrow(releasing(_encoder(definition, text_col, table_words), _tokenizer), with_fields(source.schema, "ids array<int>"))
 
+
+def _encoder(definition: str, text_col: str, table_words: int):
     def run(batches):
         table = WordTable(definition, table_words)
-        for b in cut(batches, text_col, max_bytes=2 << 20):
+        for b in cut(batches, text_col, max_bytes=1 << 20):
             words = [_split(t) if t else [] for t in b.column(text_col).to_pylist()]
             ids, sizes = table.encode([w for ws in words for w in ws])
             at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))]
             out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "ids"])
 
-    return source.mapInArrow(run, with_fields(source.schema, "ids array<int>"))
+    return run
 
 
 def pieces(definition: str) -> list[str]:
@@ -128,12 +133,15 @@ def decode(encoded: DataFrame, definition: str, ids_col: str = "ids") -> DataFra
     Null or empty id lists give an empty text.
     """
     source = encoded.select(*[c for c in encoded.columns if c != "decoded"])
+    return source.mapInArrow(releasing(_decoder(definition, ids_col)), with_fields(source.schema, "decoded string"))
+
 
+def _decoder(definition: str, ids_col: str):
     def run(batches):
         table = np.array(pieces(definition), object)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                b = batch.slice(at, 128)
                 col = b.column(ids_col)
                 flat = table[col.flatten().to_numpy(zero_copy_only=False)].tolist()
                 ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
@@ -143,7 +151,20 @@ def decode(encoded: DataFrame, definition: str, ids_col: str = "ids") -> DataFra
                     start = end
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return source.mapInArrow(run, with_fields(source.schema, "decoded string"))
+    return run
+
+
+def round_trip(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
+    """decode(encode(docs)), both in the same Python worker; the text doesn't come back."""
+    keep = [c for c in docs.columns if c not in ("ids", "decoded", text_col)]
+    source = docs.select(*keep, text_col)
+    there, back = _encoder(definition, text_col, table_words), _decoder(definition, "ids")
+
+    def run(batches):
+        for b in back(there(batches)):
+            yield b.select([*keep, "ids", "decoded"])
+
+    return source.mapInArrow(releasing(run, _tokenizer), with_fields(source.select(*keep).schema, "ids array<int>, decoded string"))
 
 
 def digests() -> list[Column]:

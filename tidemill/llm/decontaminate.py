@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut
+from .batches import cut, releasing
 from .shared import ALNUM
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -268,7 +268,7 @@ def _pass(docs: DataFrame, w: Windows, text_col: str, shard_bytes: int) -> DataF
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def remove_spans(scanned: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", size: int = 10) -> DataFrame:
@@ -307,4 +307,4 @@ def remove_spans(scanned: DataFrame, benchmark: DataFrame, text_col: str = "text
             out = [clean(t, s) if s else t for t, s in zip(b.column(text_col).to_pylist(), b.column("spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else b.column(c) for c in keep], names=keep)
 
-    return scanned.mapInArrow(run, scanned.select(*keep).schema)
+    return scanned.mapInArrow(releasing(run), scanned.select(*keep).schema)

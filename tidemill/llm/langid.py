@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut, with_fields
+from .batches import cut, releasing, with_fields
 
 SYMBOLS = 128  # 0: anything but letters; 1-26: a-z; the rest: other letters, hashed
 CACHED = 1 << 15  # trigram vectors a worker keeps (one byte a dimension)
@@ -95,12 +95,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
             counts[lang] = counts[lang] + got if lang in counts else got
 
         held: dict[str, int] = {}
-        for b in cut(batches, "text"):
+        for b in cut(batches, "text", max_bytes=1 << 20):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 codes = trigrams(text)
                 waiting.setdefault(lang, []).append(codes)
                 held[lang] = held.get(lang, 0) + len(codes)
-                if held[lang] > 4_000_000:
+                if held[lang] > 1_000_000:
                     merge(lang)
                     held[lang] = 0
         v = vectors(dims, seed)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
             yield pa.RecordBatch.from_pydict({"lang": [lang], "v": [total]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = rows.mapInArrow(bundle, "lang string, v array<double>").selectExpr("lang", "posexplode(v) AS (i, x)").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    sums = rows.mapInArrow(releasing(bundle, vectors), "lang string, v array<double>").selectExpr("lang", "posexplode(v) AS (i, x)").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     got = sums.toPandas()
     langs = sorted(set(got["lang"]))
     matrix = np.zeros((len(langs), dims))
@@ -155,4 +155,4 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
                 scores.append(float(min(1.0, max(0.0, cos[best]))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(label, with_fields(source.schema, "lang_pred string, score double"))
+    return source.mapInArrow(releasing(label, vectors), with_fields(source.schema, "lang_pred string, score double"))

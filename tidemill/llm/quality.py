@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut, texts, with_fields
+from .batches import cut, releasing, texts, with_fields
 
 #: The symbols that count against a text.
 SYMBOLS = "#*$%&|<>"
@@ -157,4 +157,4 @@ def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(by, pa.string()), pa.array(ran, pa.int32()), *more], names=[*b.schema.names, *new])
 
     ddl = "rejected_by string, rules_run int" + "".join(f", {f} long" for f in FEATURES if features)
-    return source.mapInArrow(run, with_fields(source.schema, ddl))
+    return source.mapInArrow(releasing(run), with_fields(source.schema, ddl))

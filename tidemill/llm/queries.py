@@ -46,8 +46,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
-    return bpe.decode(ids, vocabulary()).select("doc_id", *bpe.digests())
+    return bpe.round_trip(docs, vocabulary()).select("doc_id", *bpe.digests())
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
