@@ -91,4 +91,61 @@ QUERIES = {
     for f in (op1_minhash, op2_extract, op3_warc, op4_lm_score, op5_bpe, op6_licenses, op7_decontaminate, op8_chat, op9_language, op10_quality, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
+UP, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = r"[ \t\n\x0B\f\r]+"
+
+
+def _low(c: str) -> str:
+    return f"translate(coalesce({c}, ''), '{UP}', '{DOWN}')"
+
+
+def _base32(hexes: str) -> str:
+    """Eight groups of five hexadecimal digits, four characters each."""
+    part = "('0x' || substr(h, 1 + 5 * g, 5))::INT"
+    chars = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({part}) >> {s}) % 32, 1)" for s in (15, 10, 5, 0))
+    return f"(SELECT string_agg({chars}, '' ORDER BY g) FROM (SELECT {hexes} AS h), range(8) r(g))"
+
+
+_known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in licenses.SENTENCES.items())
+_rules = " ".join(f"WHEN j LIKE '%,{',%,'.join(ids)},%' THEN '{name}'" for name, ids in licenses.RULES)
+_esc = lambda c: f"replace(replace(coalesce({c}, ''), chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+
+ORACLES: dict[str, str] = {
+    "op1_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_low('text')}, '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+bi AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS x FROM documents UNION SELECT r.d, bi.b FROM r JOIN bi ON bi.a = r.x)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(x) AS component_id, min(x) = d AS kept FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d""",
+    "op3_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_base32('sha1(html)')} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p""",
+    "op6_licenses": rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace({_low('text')}, '[.!?;]([ \t\n\r]|$)', chr(10), 'g'), '[\n\r]+'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents),
+h AS (SELECT doc_id, len(s) AS n, list_filter(list_transform(s, lambda x: CASE x {_known} END), lambda x: x IS NOT NULL) AS h FROM s),
+j AS (SELECT *, ',' || coalesce(array_to_string(h, ',,'), '') || ',' AS j FROM h)
+SELECT doc_id, n::BIGINT AS n_sentences, len(h)::BIGINT AS n_known, coalesce(array_to_string(h, ','), '') AS sentence_ids, CASE {_rules} ELSE 'none' END AS license FROM j""",
+    "op7_decontaminate": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_low('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_low('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + 9], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS g FROM d, (SELECT DISTINCT size FROM win), LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i) WHERE len(w) >= size),
+m AS (SELECT doc_id, item_id, size, i FROM dw JOIN win USING (size, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM m, LATERAL (SELECT unnest(range(i, i + size)) AS p) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op8_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
+s AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length({_esc('text')}) + length(replace({_esc('role')}, chr(10), chr(92) || 'n')) + 24)::BIGINT AS formatted_chars,
+bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev = 'system' THEN role = 'user' WHEN prev = 'user' THEN role = 'assistant' WHEN prev = 'assistant' THEN role IN ('user', 'tool') WHEN prev = 'tool' THEN role IN ('assistant', 'tool') ELSE false END) AS valid
+FROM s GROUP BY conv_id""",
+    "op10_quality": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM documents),
+u AS (SELECT doc_id, i, list_extract(w, i) AS a, list_extract(w, i + 1) AS b, list_extract(w, i + 2) AS c FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i) WHERE len(w) > 2),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM u),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) x(k) WHERE n > 1 GROUP BY 1),
+f AS (SELECT doc_id, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR NOT (word_chars BETWEEN 1.5 * n_words AND 20 * n_words) OR 10 * n_symbols > 3 * n_words
+OR length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) > 0.6 * greatest(1, length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))) OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept FROM v""",
+}
