@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import identity, rate, timeexpr, tokens
-from tidemill.operators import replay, rotate, sinks, spine
+from tidemill.operators import replay, rotate, sinks, spine, template
 from tidemill.plans import generate
 from tidemill.sources import conf, ini, samples
 from tidemill.streaming.ticks import ticks
@@ -150,6 +150,15 @@ def test_generate(spark, pack):
     assert back.count() == 200
 
 
+def test_templates_equal_rewriting(spark, pack):
+    """Where no token writes what another matches, templates and token-by-token rewriting agree."""
+    both = [generate.generate(spark, pack, datetime(2026, 1, 1), executions=2, overrides={"templates": x}) for x in ("true", "false")]
+    one, two = (sorted(map(str, x.collect())) for x in both)
+    assert one == two
+    assert template.compile_line("abcabc", ["b(c)", "c"]) is None
+    assert template.compile_line("x=1 x=2", [r"x=(\d)"]) == template.Line(["x=", " x=", ""], [0, 0])
+
+
 def test_sinks(spark, tmp_path):
     e = spark.createDataFrame([(0, "é"), (1, ""), (86_400_000_000, "abc")], "time_us long, raw string")
     assert [(r["bytes"], r["events"]) for r in sinks.histogram(e).orderBy("day").collect()] == [(2, 2), (3, 1)]

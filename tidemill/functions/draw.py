@@ -16,5 +16,10 @@ def draw(seed: int, stanza: str, token: str, ordinal: Column) -> Column:
     return F.conv(F.substring(digest(seed, stanza, token, ordinal), 1, 15), 16, 10).cast("bigint")
 
 
+def fast_draw(seed: int, stanza: str, token: str, ordinal: Column) -> Column:
+    """As draw, by a cheaper hash that SQL elsewhere lacks."""
+    return F.xxhash64(F.lit(seed), F.lit(stanza), F.lit(token), ordinal).bitwiseAND(F.lit((1 << 60) - 1))
+
+
 def below(d: Column, n: Column | int) -> Column:
     return F.pmod(d, (F.lit(n) if isinstance(n, int) else n).cast("bigint"))

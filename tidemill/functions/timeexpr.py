@@ -123,6 +123,16 @@ def strftime(fmt: str, t: Column) -> Column:
     text = {"b": "MMM", "h": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE"}
     combined = {"T": "%H:%M:%S", "X": "%H:%M:%S", "R": "%H:%M", "D": "%m/%d/%y", "x": "%m/%d/%y", "F": "%Y-%m-%d", "c": "%a %b %e %H:%M:%S %Y", "r": "%I:%M:%S %p"}
     fixed = {"n": "\n", "t": "\t", "%": "%", "z": "", "Z": ""}
+    #: Directives with the same text in Spark's patterns.
+    same = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "j": "DDD", "b": "MMM", "h": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a"}
+    run = re.compile(r"(?:%[" + "".join(same) + r"]|[^%])*%[" + "".join(same) + "]")
+    for d, f in combined.items():
+        fmt = re.sub(rf"(?<!%)((?:%%)*)%{d}", lambda m, f=f: m[1] + f, fmt)
+    if (m := run.match(fmt)) and m.end() > 2:
+        pieces = re.findall(r"%.|[^%]+", m[0], re.S)
+        pattern = "".join(same[x[1]] if x[0] == "%" else "'" + x.replace("'", "''") + "'" for x in pieces)
+        head = F.date_format(t, pattern)
+        return F.concat(head, strftime(fmt[m.end() :], t)) if m.end() < len(fmt) else head
     parts: list[Column] = []
     for m in re.finditer(r"%([-_0^#]*)\d*[EO]?([A-Za-z%])|([^%]+|%)", fmt):
         flags, d, plain = m[1] or "", m[2], m[3]

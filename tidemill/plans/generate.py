@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rate, timeexpr, tokens
 from ..functions.draw import below, draw
-from ..operators import spine
+from ..operators import spine, template
 from ..sources import conf, samples
 
 EPOCH = datetime(1970, 1, 1)
@@ -40,6 +40,13 @@ def shift(tok: conf.Token, d: Column) -> Column:
     return F.lit(low) + below(d, high - low + 1)
 
 
+def _has_value(tok: conf.Token) -> bool:
+    """Whether value_of gives a Column."""
+    if tok.replacementType in ("random", "rated"):
+        return tokens.random_value(tok.replacement, 0, "", "", F.lit(0)) is not None
+    return tok.replacementType in ("static", "timestamp", "replaytimestamp", "file", "mvfile", "seqfile", "integerid")
+
+
 def value_of(spark: SparkSession, df: DataFrame, s: conf.Stanza, tok: conf.Token, n: int, seed: int, root: Path) -> tuple[DataFrame, Column | None]:
     """df, with a joined column if the token needs one, and the token's value (None: the token changes nothing)."""
     kind, key = tok.replacementType, f"t{n}"
@@ -82,6 +89,7 @@ def stanza_events(spark: SparkSession, s: conf.Stanza, now: datetime, executions
             at = now + timedelta(seconds=k * step)
             rows.append((k, seconds(timeexpr.parse_time(c["earliest"], at)), seconds(timeexpr.parse_time(c["latest"], at))))
         grid = spark.createDataFrame(rows, "interval_no long, t long, lt long")
+    templated = None
     synthetic = c["generator"] in ("windbag", "counter")
     lines = [] if synthetic else samples.read(s.path, c["sampletype"], c["breaker"])
     size, count = len(lines) or 60, int(float(c["count"]))
@@ -103,19 +111,43 @@ def stanza_events(spark: SparkSession, s: conf.Stanza, now: datetime, executions
             e = e.withColumn(k, F.lit(None).cast("string"))
     else:
         line = below(draw(seed, s.name, "line", F.col("ordinal")), size) if conf.truthy(c.get("randomizeEvents")) else F.pmod(F.col("i"), F.lit(size))
-        e = spine.on_line(e, samples.frame(spark, lines), line)
+        frame = samples.frame(spark, lines)
+        if conf.truthy(c.get("templates", "true")) and s.tokens:
+            # tokens of a known kind; a bad spec gives no value, found out when values are built
+            usable = [t.token for t in s.tokens if _has_value(t)]
+            compiled, templated = template.compile_lines([x[1] for x in lines], usable)
+            frame = spark.createDataFrame([(*row, shape, lits) for row, (shape, lits) in zip(lines, compiled)], samples.SCHEMA + ", shape int, literals array<string>")
+        e = spine.on_line(e, frame, line)
     for k in ("index", "host", "source", "sourcetype"):
         e = e.withColumn(k, F.coalesce(F.col(k), F.lit(c.get(k))))
-    for at, tok in enumerate(s.tokens):
-        e, value = value_of(spark, e, s, tok, at, seed, s.path.parent.parent if s.path else Path("."))
-        if value is not None:
-            e = e.withColumn("raw", tokens.rewrite(F.col("raw"), tok.token, value))
+    e, values = _values(spark, e, s, seed)
+    e = e.withColumn("raw", _rendered(s, values, templated))
     if s.host_token:
         e, value = value_of(spark, e, s, s.host_token, 999, seed, s.path.parent.parent if s.path else Path("."))
         e = e.withColumn("host", tokens.rewrite(F.col("host"), s.host_token.token, value))
     return e.withColumn("stanza", F.lit(s.name)).select(*EVENTS)
 
 
+def _values(spark: SparkSession, e: DataFrame, s: conf.Stanza, seed: int) -> tuple[DataFrame, list[Column | None]]:
+    values = []
+    for at, tok in enumerate(s.tokens):
+        e, value = value_of(spark, e, s, tok, at, seed, s.path.parent.parent if s.path else Path("."))
+        values.append(value)
+    return e, values
+
+
+def _rendered(s: conf.Stanza, values: list[Column | None], shapes: list[list[int]] | None) -> Column:
+    """Token by token, or from templates where the line has one (a token without a value leaves its target, so such events aren't templated)."""
+    text = F.col("raw")
+    for tok, value in zip(s.tokens, values):
+        if value is not None:
+            text = tokens.rewrite(text, tok.token, value)
+    if shapes is None:
+        return text
+    live = [v for v in values if v is not None]
+    return F.coalesce(template.render(F.col("shape"), F.col("literals"), shapes, live, [], F.lit(None).cast("string")), text)
+
+
 def generate(spark: SparkSession, path: str, now: datetime, executions: int = 1, seed: int = 7, only: str | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
     """The events of all stanzas of a conf file or app folder."""
     stanzas = conf.load(path, only, overrides)
