@@ -150,6 +150,19 @@ def test_generate(spark, pack):
     assert back.count() == 200
 
 
+def test_replay_and_volume_stanzas(spark, pack):
+    (pack / "samples" / "r.log").write_text("2026-01-01 00:00:00 a\n2026-01-01 00:00:04 b\nnone\n2026-01-01 00:00:05 c\n")
+    (pack / "default" / "eventgen.conf").write_text(
+        "[r.log]\nmode = replay\ntimeMultiple = 2\ntoken.0.token = ^(\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d)\ntoken.0.replacementType = replaytimestamp\ntoken.0.replacement = %Y-%m-%d %H:%M:%S\n"
+        "[web.sample]\nperDayVolume = 0.001\ninterval = 60\nearliest = -60s\n"
+    )
+    e = generate.generate(spark, pack, datetime(2026, 5, 5), executions=4)
+    assert [r["raw"] for r in e.where("stanza = 'r.log'").orderBy("ordinal").collect()] == ["2026-05-05 00:00:00 a", "2026-05-05 00:00:00 b", "2026-05-05 00:00:08 c"]
+    per = [(r["n"], r["b"]) for r in e.where("stanza = 'web.sample'").groupBy("interval_no").agg(F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("b")).collect()]
+    want = round(rate.per_interval_bytes(0.001, 60))
+    assert len(per) == 4 and all(want - 40 < b <= want for _, b in per)
+
+
 def test_templates_equal_rewriting(spark, pack):
     """Where no token writes what another matches, templates and token-by-token rewriting agree."""
     both = [generate.generate(spark, pack, datetime(2026, 1, 1), executions=2, overrides={"templates": x}) for x in ("true", "false")]

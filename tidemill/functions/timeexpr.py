@@ -153,3 +153,32 @@ def strftime(fmt: str, t: Column) -> Column:
         else:
             parts.append(F.lit(fixed.get(d, m[0])))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def relative_column(text: str, t: Column) -> Column:
+    """A relative time as a Column over timestamps: the same steps as parse_relative."""
+    m = re.fullmatch(r"(?:([+-])(\d*)([a-z]+))?(?:@([a-z]+\d?)(?:([+-])(\d*)([a-z]+))?)?", text.strip().lower())
+    if not m or not m[0]:
+        raise ValueError(f"no relative time: {text!r}")
+
+    def add(c: Column, sign: str, n: str, unit: str) -> Column:
+        k, u = int(sign + (n or "1")), UNITS[unit]
+        if u in "smhdw":
+            return (c + F.make_dt_interval(secs=F.lit(k * {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}[u]))).cast("timestamp_ntz")
+        return (c + F.make_ym_interval(F.lit(0), F.lit(k * {"mon": 1, "q": 3, "y": 12}[u]))).cast("timestamp_ntz")
+
+    out = F.date_trunc("second", t).cast("timestamp_ntz")
+    if m[1]:
+        out = add(out, m[1], m[2], m[3])
+    if m[4]:
+        out = snap_column(out, m[4] if re.fullmatch(r"w[0-7]", m[4]) else UNITS[m[4]])
+    return add(out, m[5], m[6], m[7]) if m[5] else out
+
+
+def strptime(fmt: str, text: Column) -> Column:
+    """Timestamps of texts in a format of plain directives; null where a text doesn't fit."""
+    #: Directives in Spark's patterns.
+    same = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "b": "MMM", "B": "MMMM", "p": "a", "j": "DDD"}
+    fmt = fmt.replace("%T", "%H:%M:%S").replace("%F", "%Y-%m-%d")
+    pieces = re.findall(r"%.|[^%]+", fmt, re.S)
+    return F.try_to_timestamp(text, F.lit("".join(same[x[1]] if x[0] == "%" else "'" + x.replace("'", "''") + "'" for x in pieces))).cast("timestamp_ntz")

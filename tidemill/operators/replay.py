@@ -18,3 +18,19 @@ def schedule(gapped: DataFrame, shift: int = 1, by: list[str] | None = None) ->
     w = Window.partitionBy(*by).orderBy("line_no") if by else Window.orderBy("line_no")
     wait = F.greatest(F.col("diff"), F.lit(0))
     return gapped.withColumn("offset_us", F.coalesce(F.sum(wait).over(w.rowsBetween(Window.unboundedPreceding, -shift)), F.lit(0)).cast("bigint"))
+
+
+def backfill(gapped: DataFrame, now_us: int, horizon_us: int, by: list[str] | None = None) -> DataFrame:
+    """Events of a timeline walked backward and cyclically from now until the horizon is passed (one event lies beyond it): cycle, line_no, time_us.
+
+    Closed form: the cycles needed follow from the sum of a timeline's gaps, so nothing is walked. A timeline without positive gaps gives none.
+    """
+    keys = by or []
+    down = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.desc("line_no"))
+    wait = F.greatest(F.col("diff"), F.lit(0))
+    all_ = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    back = gapped.withColumn("w", wait).withColumn("upto", F.sum("w").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(all_)).where("total > 0")
+    span = now_us - horizon_us
+    cycles = back.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"{span} div total + 1"))))
+    timed = cycles.withColumn("time_us", F.lit(now_us) - F.col("cycle") * F.col("total") - F.col("upto"))
+    return timed.where(F.col("time_us") + F.col("w") >= horizon_us).drop("w", "upto", "total")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rate, timeexpr, tokens
 from ..functions.draw import below, draw
-from ..operators import spine, template
+from ..operators import replay, spine, template
 from ..sources import conf, samples
 
 EPOCH = datetime(1970, 1, 1)
@@ -79,6 +79,8 @@ def value_of(spark: SparkSession, df: DataFrame, s: conf.Stanza, tok: conf.Token
 def stanza_events(spark: SparkSession, s: conf.Stanza, now: datetime, executions: int = 1, seed: int = 7, partitions: int | None = None) -> DataFrame:
     """The events of a stanza: its backfill sweep, or as many executions as asked for, ending at now."""
     c = s.settings
+    if c["generator"] == "replay":
+        return replay_events(spark, s, now, seed)
     step = max(1, int(float(c["interval"])))
     if c.get("backfill"):
         until = timeexpr.parse_time(c["backfillEnd"], now) if c.get("backfillEnd") else now
@@ -98,6 +100,8 @@ def stanza_events(spark: SparkSession, s: conf.Stanza, now: datetime, executions
     if float(c.get("randomizeCount") or 0) > 0:
         f = f * rate.jitter(float(c["randomizeCount"]), draw(seed, s.name, "count", F.col("interval_no")))
     bundle = conf.truthy(c.get("bundlelines")) and not synthetic
+    if c["generator"] == "perdayvolume":
+        return volume_events(spark, s, grid, lines, f, seed)
     n = F.lit(max(1, count) * size).cast("bigint") if bundle else rate.rated_count(F.lit(base), f)
     e = spine.events(spine.with_offsets(grid.withColumn("n", n)), partitions=partitions)
     if conf.truthy(c.get("sequentialTimestamp")):
@@ -128,6 +132,70 @@ def stanza_events(spark: SparkSession, s: conf.Stanza, now: datetime, executions
     return e.withColumn("stanza", F.lit(s.name)).select(*EVENTS)
 
 
+def base_time(text: str, toks: list[conf.Token], now: datetime) -> int | None:
+    """Microseconds of the first timestamp token that matches and parses; the year 1900 becomes the current one."""
+    for tok in toks:
+        if tok.replacementType not in ("timestamp", "replaytimestamp"):
+            continue
+        for a, b in template.spans(tok.token, text)[:1]:
+            if tok.replacement == "%s" and text[a:b].isdigit() and b - a >= 10:
+                return int(text[a:b]) * 10 ** (16 - (b - a)) if b - a <= 16 else None
+            try:
+                t = datetime.strptime(text[a:b], tok.replacement)
+            except ValueError:
+                continue
+            t = t.replace(year=now.year) if t.year == 1900 else t
+            return round((t - EPOCH) / timedelta(microseconds=1))
+    return None
+
+
+def finish(spark: SparkSession, e: DataFrame, s: conf.Stanza, seed: int) -> DataFrame:
+    """Metadata, tokens and the schema of events for rows with raw, t, lt, time_us, ordinal, i, interval_no and line_no."""
+    for k in ("index", "host", "source", "sourcetype"):
+        e = e.withColumn(k, F.coalesce(F.col(k), F.lit(s.settings.get(k))))
+    e, values = _values(spark, e, s, seed)
+    return e.withColumn("raw", _rendered(s, values, None)).withColumn("stanza", F.lit(s.name)).select(*EVENTS)
+
+
+def replay_events(spark: SparkSession, s: conf.Stanza, now: datetime, seed: int = 7) -> DataFrame:
+    """The recorded lines at their recorded pace from now on (`end` passes); lines without a time go."""
+    lines = samples.read(s.path, s.settings["sampletype"], s.settings["breaker"])
+    timed = [(*row, at) for row in lines if (at := base_time(row[1], s.tokens, now)) is not None]
+    if not timed:
+        raise ValueError(f"{s.path}: no line has a time")
+    df = spark.createDataFrame(timed, samples.SCHEMA + ", base_us long")
+    e = replay.schedule(replay.gaps(df, multiple=float(s.settings["timeMultiple"])))
+    passes = max(1, int(s.settings.get("end") or 1))
+    length = e.agg(F.max("offset_us")).first()[0]
+    e = e.withColumn("interval_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(passes - 1).cast("bigint"))))
+    e = e.withColumn("time_us", F.lit(seconds(now) * 1_000_000) + F.col("interval_no") * (length + 1_000_000) + F.col("offset_us"))
+    second = F.floor(F.col("time_us") / 1_000_000)
+    e = e.withColumn("i", F.col("line_no")).withColumn("ordinal", F.col("interval_no") * len(timed) + F.col("line_no")).withColumn("t", second).withColumn("lt", second)
+    return finish(spark, e, s, seed)
+
+
+def volume_events(spark: SparkSession, s: conf.Stanza, grid: DataFrame, lines: list[tuple], factor: Column, seed: int = 7) -> DataFrame:
+    """As many bytes an interval as perDayVolume (GB) asks for, in whole cycles of the sample and its longest prefix; less than a mean event is carried on."""
+    wanted = F.floor(F.lit(rate.per_interval_bytes(float(s.settings["perDayVolume"]), int(float(s.settings["interval"])))) * factor + 0.5).cast("bigint")
+    total = sum(r[2] for r in lines)
+    ordered = grid.withColumn("x", wanted).agg(F.sort_array(F.collect_list(F.struct("interval_no", "t", "lt", "x"))).alias("a"))
+    got = ordered.select(F.explode(F.arrays_zip(F.col("a").alias("g"), rate.carried(F.col("a.x"), total / len(lines)).alias("b"))).alias("r")).select("r.g.interval_no", "r.g.t", "r.g.lt", F.col("r.b").alias("bytes"))
+    prefix, at = [], 0
+    for r in lines:
+        at += r[2]
+        prefix.append(at)
+    rest = F.expr(f"bytes % {total}")
+    part = F.size(F.filter(F.array(*map(F.lit, prefix)), lambda p: p <= rest)) if len(prefix) <= 1000 else None
+    if part is None:
+        steps = spark.createDataFrame([(p,) for p in prefix], "p long")
+        part_df = got.join(steps, F.col("p") <= rest, "left").groupBy("interval_no").agg(F.count("p").alias("k"))
+        got, part = got.join(part_df, "interval_no"), F.col("k")
+    n = F.expr(f"bytes div {total}") * len(lines) + part
+    e = spine.events(spine.with_offsets(got.withColumn("n", n.cast("bigint"))))
+    e = e.withColumn("time_us", spine.uniform_time(F.col("t"), F.col("lt"), draw(seed, s.name, "time", F.col("ordinal"))) * 1_000_000)
+    return finish(spark, spine.on_line(e, samples.frame(spark, lines), F.pmod(F.col("i"), F.lit(len(lines)))), s, seed)
+
+
 def _values(spark: SparkSession, e: DataFrame, s: conf.Stanza, seed: int) -> tuple[DataFrame, list[Column | None]]:
     values = []
     for at, tok in enumerate(s.tokens):

@@ -313,6 +313,70 @@ def replay_schedule(spark, d):
     return replay.schedule(_timeline(spark, d), by=["user_id"]).select("event_id", "offset_us")
 
 
+NOW_US, HORIZON_US = 1706745600000000, 1703462400000000
+
+
+@register(
+    f"""WITH {TIMELINE}, w AS (SELECT *, greatest(diff, 0) AS w FROM g), b AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(w) OVER (PARTITION BY user_id)::BIGINT AS total FROM w),
+x AS (SELECT user_id, line_no, w, cycle, {NOW_US} - cycle * total - upto AS time_us FROM b, LATERAL (SELECT unnest(range({NOW_US - HORIZON_US} // total + 2)) AS cycle) WHERE total > 0)
+SELECT user_id, line_no, cycle, time_us FROM x WHERE time_us + w >= {HORIZON_US}"""
+)
+def replay_backfill(spark, d):
+    return replay.backfill(_timeline(spark, d), NOW_US, HORIZON_US, by=["user_id"]).select("user_id", "line_no", "cycle", "time_us")
+
+
+@register(
+    """SELECT event_id, date_trunc('second', ts) - INTERVAL 90 MINUTE AS a, date_trunc('day', date_trunc('second', ts) - INTERVAL 1 DAY)::TIMESTAMP AS b, date_trunc('month', date_trunc('second', ts) - INTERVAL 1 MONTH)::TIMESTAMP + INTERVAL 3 DAY AS c,
+date_trunc('second', ts) + INTERVAL 6 MONTH AS e, (date_trunc('day', ts) - to_days(dayofweek(ts)::INT))::TIMESTAMP AS f FROM events"""
+)
+def time_relative(spark, d):
+    r = timeexpr.relative_column
+    at = F.col("ts")
+    return t(spark, d, "events").select("event_id", r("-90m", at).alias("a"), r("-1d@d", at).alias("b"), r("-1mon@mon+3d", at).alias("c"), r("+2q", at).alias("e"), r("@w0", at).alias("f"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strptime(strftime(ts, '%d/%b/%Y:%H:%M:%S'), '%d/%b/%Y:%H:%M:%S') END AS parsed FROM events")
+def strptime_extract(spark, d):
+    """Timestamps found in lines; every seventh line has none that fits."""
+    line = F.concat(F.lit("x ["), F.when(F.col("event_id") % 7 == 0, "bad").otherwise(timeexpr.strftime("%d/%b/%Y:%H:%M:%S", F.col("ts"))), F.lit("]"))
+    return t(spark, d, "events").select("event_id", timeexpr.strptime("%d/%b/%Y:%H:%M:%S", F.regexp_extract(line, r"\[(.*)\]", 1)).alias("parsed"))
+
+
+PATTERNS = ("customer.*", "Customer#0+1.*", ".*5", "Customer#000000007", "none")
+_files = "files AS (SELECT c_name AS file FROM customer), pats AS (SELECT unnest([" + ",".join(f"'{p}'" for p in PATTERNS) + "]) AS pattern), m AS (SELECT file, pattern FROM files, pats WHERE regexp_full_match(file, pattern))"
+
+
+def _matches(spark, d) -> DataFrame:
+    """Each pattern is a literal of a filter over the file names: as many narrow passes as patterns, no theta join."""
+    names = t(spark, d, "customer").select(F.col("c_name").alias("file"))
+    found = F.array_compact(F.array(*[F.when(F.col("file").rlike(f"^(?:{p})\\z"), F.lit(p)) for p in PATTERNS]))
+    return names.select("file", F.explode(found).alias("pattern"))
+
+
+@register(f"WITH {_files} SELECT * FROM m")
+def conf_match(spark, d):
+    return _matches(spark, d)
+
+
+@register(f"WITH {_files} SELECT file, pattern FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.file = b.file AND (b.pattern = b.file, length(b.pattern), b.pattern) > (a.pattern = a.file, length(a.pattern), a.pattern))")
+def conf_flatten(spark, d):
+    """For each file the exact stanza, else the longest one; the dominated ones go."""
+    m = _matches(spark, d)
+    best = F.max(F.struct((F.col("pattern") == F.col("file")).alias("exact"), F.length("pattern").alias("n"), F.col("pattern").alias("pattern"))).alias("b")
+    return m.groupBy("file").agg(best).select("file", F.col("b.pattern").alias("pattern"))
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN 'global-' || c_nationkey ELSE 'eventgen' END AS sourcetype, CASE WHEN c_custkey % 5 = 0 THEN '5' ELSE '60' END AS interval FROM customer")
+def conf_layering(spark, d):
+    """defaults, under global, under the stanza: a customer is a stanza that may set its sourcetype."""
+    layer = lambda on, **kv: F.when(on, F.map_from_arrays(F.array(*map(F.lit, kv)), F.array(*kv.values()))).otherwise(F.create_map().cast("map<string,string>"))
+    base = F.create_map(F.lit("sourcetype"), F.lit("eventgen"), F.lit("interval"), F.lit("60"))
+    shared = layer(F.col("c_custkey") % 5 == 0, sourcetype=F.concat(F.lit("global-"), F.col("c_nationkey").cast("string")), interval=F.lit("5"))
+    own = layer(F.col("c_custkey") % 3 == 0, sourcetype=F.col("c_mktsegment"))
+    pick = lambda k: F.coalesce(F.try_element_at(own, F.lit(k)), F.try_element_at(shared, F.lit(k)), F.try_element_at(base, F.lit(k))).alias(k)
+    return t(spark, d, "customer").select("c_custkey", pick("sourcetype"), pick("interval"))
+
+
 SNAPS = ("s", "m", "h", "d", "mon", "q", "y", "w0", "w1", "w2", "w3", "w4", "w5", "w6")
 _units = {"s": "second", "m": "minute", "h": "hour", "d": "day", "mon": "month", "q": "quarter", "y": "year"}
 
