@@ -177,6 +177,8 @@ PAGES = {
     "<div class='sidebar'><p>side text here</p></div><div class='post-content'><p>Body one.</p><p>Body <a href='x'>two</a>.</p></div><ul class='menu'><li><a>m</a></li></ul>": "Body one.\nBody two.",
     "<p>plain &lt;p&gt; text<script>var a='</p>';</script> goes on<p>again": "plain <p> text goes on\nagain",
     "<!-- <p>no</p> --><article>kept</article><style>p{}</style>": "kept",
+    "<div class='layout with-sidebar'><div class='header'>Site</div><article><div class='entry-header'><h1>T</h1></div><p>Body.</p><ul><li>One</li><li>Two</li></ul></article><div class='comments'><article class='comment'><p>Nice one</p></article></div></div>": "T\nBody.\nOne\nTwo",
+    "<main><p>Body.</p></main><section class='related'><article class='teaser'><p>Read this next</p></article></section>": "Body.",
     "": "",
 }
 

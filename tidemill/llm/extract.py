@@ -35,6 +35,10 @@ BAD = frozenset(
     "toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search share sharing social related recommended recommendations teaser comment comments commentlist respond reply replies disqus "
     "discussion copyright legal disclaimer pagination pager skip contentinfo complementary dialog form".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: What also marks an article or main element, and what doesn't mark a part of an article.
+STRONG = COMMENTS | frozenset("ad ads advert advertisement sponsored promo promoted teaser related recommended".split())
+TITLES = frozenset("header head".split())
 GOOD = frozenset("article content main post entry story body text maintext articlebody".split())
 WORDS = re.compile(r"[a-z]+")
 
@@ -44,20 +48,22 @@ NEAR, SAME = 0.3, 0.5
 
 
 class _Open:
-    __slots__ = ("tag", "bad", "article", "good", "key")
+    __slots__ = ("tag", "bad", "article", "good", "key", "comment")
 
-    def __init__(self, tag, bad, article, good, key):
-        self.tag, self.bad, self.article, self.good, self.key = tag, bad, article, good, key
+    def __init__(self, tag, bad, article, good, key, comment):
+        self.tag, self.bad, self.article, self.good, self.key, self.comment = tag, bad, article, good, key, comment
 
 
 def _child(parent: _Open, tag: str, attrs: str, key: int) -> _Open:
-    bad, article, good = parent.bad, parent.article, parent.good
+    bad, article, good, comment = parent.bad, parent.article, parent.good, parent.comment
     if tag in PLAIN_BAD:
         bad = min(bad, W_BAD)
     elif tag in EDGES:
         bad = min(bad, W_EDGE if not article or tag == "footer" else 0.0)
     elif tag in ("article", "main"):
         article = True
+        if not comment:
+            bad = 0.0  # a layout's class, as in with-sidebar, doesn't speak for the article inside
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -66,17 +72,20 @@ def _child(parent: _Open, tag: str, attrs: str, key: int) -> _Open:
             elif name in ("class", "id", "role"):
                 for w in value.split():
                     parts = WORDS.findall(w)
-                    if tag not in ("html", "body", "article", "main") and not BAD.isdisjoint(parts):
+                    marks = () if tag in ("html", "body") else STRONG.intersection(parts) if tag in ("article", "main") else BAD.intersection(parts)
+                    fine = not GOOD.isdisjoint(parts)
+                    if marks and not ((article or fine) and TITLES.issuperset(marks)):
                         bad = min(bad, W_BAD)
-                    elif not GOOD.isdisjoint(parts):
+                        comment = comment or not COMMENTS.isdisjoint(marks)
+                    elif fine:
                         good = True
-    return _Open(tag, bad, article, good, key if tag in CONTAINERS else parent.key)
+    return _Open(tag, bad, article, good, key if tag in CONTAINERS else parent.key, comment)
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """Text, score and container of each text block, in page order."""
     out: list[tuple[str, float, int]] = []
-    stack = [_Open("", 0.0, False, False, 0)]
+    stack = [_Open("", 0.0, False, False, 0, False)]
     parts: list[str] = []
     linked = keys = 0
     in_link = 0
@@ -125,9 +134,6 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m[1] else 1
-            # inline elements with a telling class count as well
-            if tag == "span" or len(stack) > 1 and stack[-1].tag == tag:
-                pass
             continue
         close()
         if tag in VOID:
