@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from ..functions.identity import kind_column, pass_value, window_value
+from ..functions.identity import kind_column, pass_identity, pass_value, window_identity, window_value
+from .template import spans
+
+GUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
 def tables(values: DataFrame) -> DataFrame:
@@ -30,3 +37,61 @@ def rotate_window(events: DataFrame, period: int) -> DataFrame:
     keyed = events.withColumn("window", F.expr(f"greatest(epoch, 0) div {max(1, period)}")).withColumn("kind", kind_column(F.col("value")))
     ids = keyed.select("value", "window", "kind").distinct().withColumn("rotated", window_value("kind", "value", "window"))
     return keyed.join(ids.drop("kind"), ["value", "window"]).withColumn("rotated", F.coalesce("rotated", "value")).drop("kind")
+
+
+def policy_kind(policy: str, value: str) -> str:
+    """The format of a value's identities: its own for keep, same or an empty policy, else digits(N), hex(N) (1 to 48) or guid."""
+    policy = policy.strip().lower()
+    if policy in ("", "keep", "same"):
+        if re.fullmatch(r"\d+", value, re.ASCII):
+            return f"digits({len(value)})"
+        if re.fullmatch(GUID, value) or re.fullmatch(GUID, value.lower()) and value == value.upper():
+            return "guid"
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) and re.search("[a-fA-F]", value):
+            return f"hex({len(value)})"
+        return "none"
+    m = re.fullmatch(r"(digits|hex)\((\d+)\)", policy)
+    if policy == "guid" or m and 1 <= int(m[2]) <= 48:
+        return policy
+    raise ValueError(f"no rotation policy: {policy!r}")
+
+
+def line_tables(lines: list[str], patterns: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[int, int]]:
+    """(kind, value) -> (k, d): lines in file order, tokens in conf order, matches left to right. Samples are small."""
+    seen: dict[str, dict[str, int]] = {}
+    for line in lines:
+        for pattern, policy in patterns:
+            for a, b in spans(pattern, line):
+                kind = policy_kind(policy, line[a:b])
+                if kind != "none":
+                    seen.setdefault(kind, {}).setdefault(line[a:b], len(seen.get(kind, {})))
+    return {(kind, v): (k, len(vs)) for kind, vs in seen.items() for v, k in vs.items()}
+
+
+def rewriter(pattern: str, policy: str, table: dict[tuple[str, str], tuple[int, int]], lines: int, window: int | None = None):
+    """A UDF (text, ordinal, epoch) that replaces each match by its own identity: by the pass over the sample, or, with window (seconds), by the clock window.
+
+    A value that isn't in the table stays; upper-case values give upper-case identities.
+    """
+
+    def one(text: str, ordinal: int, epoch: int) -> str:
+        parts, at = [], 0
+        for a, b in spans(pattern, text):
+            value = text[a:b]
+            kind = policy_kind(policy, value)
+            if kind == "none" or window is None and (kind, value) not in table:
+                continue
+            if window is None:
+                k, d = table[kind, value]
+                new = pass_identity(kind, ordinal // lines, k, d)
+            else:
+                new = window_identity(kind, value, max(epoch, 0) // window)
+            parts += [text[at:a], new.upper() if value.upper() == value != value.lower() else new]
+            at = b
+        return "".join(parts) + text[at:]
+
+    @F.pandas_udf(StringType())
+    def rewrite(text: pd.Series, ordinal: pd.Series, epoch: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(text, ordinal, epoch)], dtype=object)
+
+    return rewrite

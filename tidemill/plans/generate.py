@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rate, timeexpr, tokens
 from ..functions.draw import below, draw
-from ..operators import replay, spine, template
+from ..operators import replay, rotate, spine, template
 from ..sources import conf, samples
 
 EPOCH = datetime(1970, 1, 1)
@@ -114,7 +114,9 @@ def stanza_events(spark: SparkSession, s: conf.Stanza, now: datetime, executions
         for k in ("index", "host", "source", "sourcetype"):
             e = e.withColumn(k, F.lit(None).cast("string"))
     else:
-        line = below(draw(seed, s.name, "line", F.col("ordinal")), size) if conf.truthy(c.get("randomizeEvents")) else F.pmod(F.col("i"), F.lit(size))
+        turning = any(x.replacementType == "rotate" for x in s.tokens) and c.get("rotate.scope") != "window"
+        step_line = F.col("ordinal") if turning else F.col("i")
+        line = below(draw(seed, s.name, "line", F.col("ordinal")), size) if conf.truthy(c.get("randomizeEvents")) else F.pmod(step_line, F.lit(size))
         frame = samples.frame(spark, lines)
         if conf.truthy(c.get("templates", "true")) and s.tokens:
             # tokens of a known kind; a bad spec gives no value, found out when values are built
@@ -207,8 +209,16 @@ def _values(spark: SparkSession, e: DataFrame, s: conf.Stanza, seed: int) -> tup
 def _rendered(s: conf.Stanza, values: list[Column | None], shapes: list[list[int]] | None) -> Column:
     """Token by token, or from templates where the line has one (a token without a value leaves its target, so such events aren't templated)."""
     text = F.col("raw")
+    turning = [(tok.token, tok.replacement) for tok in s.tokens if tok.replacementType == "rotate"]
+    if turning:
+        shapes = None  # each match has a value of its own
+        window = int(s.settings.get("rotate.period", 60)) if s.settings.get("rotate.scope") == "window" else None
+        lines = [r[1] for r in samples.read(s.path, s.settings["sampletype"], s.settings["breaker"])]
+        table = rotate.line_tables(lines, turning)
     for tok, value in zip(s.tokens, values):
-        if value is not None:
+        if tok.replacementType == "rotate":
+            text = rotate.rewriter(tok.token, tok.replacement, table, len(lines), window)(text, F.col("ordinal"), F.floor(F.col("time_us") / 1_000_000))
+        elif value is not None:
             text = tokens.rewrite(text, tok.token, value)
     if shapes is None:
         return text
