@@ -13,10 +13,12 @@ of `block_words` words; each block is one more narrow pass that merges its spans
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +206,7 @@ def _merged(mask: np.ndarray, old: list) -> tuple[int, list[list[int]]]:
     return int(mask.sum()), edge.reshape(-1, 2).tolist()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_words: int = 1_000_000, shard_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_words: int = 200_000, shard_bytes: int = 16 << 20) -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of a window), items (their ids as strings, sorted) and spans
     (merged [start, end) word places, to be removed).
 
@@ -271,16 +273,22 @@ def _pass(docs: DataFrame, w: Windows, text_col: str, shard_bytes: int) -> DataF
     return docs.mapInArrow(releasing(run), docs.schema)
 
 
+def _window_hash(w: list[bytes], at: int, n: int) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(w[at : at + n]))
+
+
 def remove_spans(scanned: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", size: int = 10) -> DataFrame:
     """The result of contamination() with its spans cut out of text_col and the four new columns dropped.
 
     A cut leaves one line break. Where the words on both sides of cuts form a window again, they are cut, too. Texts without spans stay as they are.
+    A task holds 8 bytes for each window of the benchmark (a sorted array of 64-bit hashes).
     """
-    grams: set[tuple] = set()
+    sizes, hashed = set(), array("Q")
     for row in benchmark.select(F.col(item_text_col).alias("t")).toLocalIterator():
         w = words(row["t"])
-        grams.update(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1) if w else 0))
-    sizes = sorted({len(g) for g in grams})
+        sizes |= {min(len(w), size)} - {0}
+        hashed.extend(_window_hash(w, i, size) for i in range(max(1, len(w) - size + 1) if w else 0))
+    known = np.unique(np.array(hashed, np.uint64))
 
     def clean(text, spans):
         while spans:
@@ -294,9 +302,9 @@ def remove_spans(scanned: DataFrame, benchmark: DataFrame, text_col: str = "text
             w = words(text)
             mask = np.zeros(len(w), bool)
             for n in sizes:
-                for i in range(len(w) - n + 1):
-                    if tuple(w[i : i + n]) in grams:
-                        mask[i : i + n] = True
+                got = np.array([_window_hash(w, i, n) for i in range(len(w) - n + 1)], np.uint64)
+                for i in np.flatnonzero(np.isin(got, known)).tolist():
+                    mask[i : i + n] = True
             spans = _merged(mask, [])[1]
         return text
 
