@@ -70,6 +70,18 @@ def test_bpe_empty(spark, empty):
     assert bpe.decode(bpe.encode(empty, queries.vocabulary()), queries.vocabulary()).count() == 0
 
 
+def test_bpe_word_table(spark, edges):
+    """Each distinct word once, with the library's ids; a small bound keeps the most frequent ones."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counts = Counter(w for r in edges.collect() for w in bpe._split(r["text"] or "") if len(w) <= bpe.LONGEST)
+    rows = bpe.word_table(edges, queries.vocabulary()).to_pylist()
+    assert {r["word"]: r["ids"] for r in rows} == {w: t.encode(w, add_special_tokens=False).ids for w in counts} and len(rows) == len(counts)
+    few = bpe.word_table(edges, queries.vocabulary(), table_words=20).column("word").to_pylist()
+    assert len(few) <= 20 and min(counts[w] for w in few) >= max(n for w, n in counts.items() if w not in few)
+
+
 def naive_quality(text):
     words = WORDS.findall(text)
     grams = Counter(zip(words, words[1:], words[2:]))

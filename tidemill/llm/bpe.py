@@ -1,11 +1,12 @@
 """BPE encoding and decoding over a distinct-word table.
 
-A text is split into words at white space, which no token of the vocabulary spans. Each distinct word is encoded once into a table
-word -> ids, and the ids come back to the texts by position. Decoding joins ids with the vocabulary's pieces.
+A text is split into words at white space, which no token of the vocabulary spans. The corpus's distinct words are counted, each
+is encoded once into a table word -> ids, and the ids come back to the texts by position. Decoding joins ids with the pieces.
 
-Scale: two map passes, no shuffle. The distinct-word table is kept by each worker (bounded by `table_words`; when full it starts
-anew) and joined to word positions by a gather there: a table shared by all tasks would need a join on (document, position, word),
-which moves every word of the corpus twice. The piece table has the vocabulary's size.
+Scale: a counting pass that shuffles each task's distinct words (never texts or word positions), then a map pass. The table is
+broadcast, so a frequent word can't make a hot key; its size is bounded by `table_words` words of `LONGEST` characters. Where the
+corpus has more distinct words, the table holds the most frequent ones, and the rest, all of them rare, are encoded where they
+stand. The piece table has the vocabulary's size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import cut, releasing, with_fields
+from .shared import dropped, stored
 
 #: Characters that str.split() takes as white space and the tokenizer doesn't.
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -32,6 +35,9 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Marks that the tokenizer never joins to letters.
 MARKS = ",.!?;:"
 
+#: A longer word isn't kept in the shared table.
+LONGEST = 48
+
 
 @lru_cache(maxsize=4)
 def _tokenizer(definition: str):
@@ -49,12 +55,26 @@ def _split(text: str) -> list[str]:
 
 
 class WordTable(dict):
-    """word -> place; at[place] to at[place + 1] are the word's ids in `flat`."""
+    """word -> place; at[place] to at[place + 1] are the word's ids in `flat`.
+
+    It starts from the shared table (words, ids) and learns what that lacks; with `most` learned words it starts anew.
+    """
 
-    def __init__(self, definition: str, most: int):
-        self.encoder, self.most = _tokenizer(definition), most
+    def __init__(self, definition: str, most: int, shared: pa.Table | None = None):
+        super().__init__()
+        self.definition, self.most, self.shared = definition, most, shared
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
         self.parts: dict[str, array] = {}
         self.flat, self.at = array("i"), array("q", [0])
+        if self.shared is not None and self.shared.num_rows:
+            words, ids = (self.shared.column(c).combine_chunks() for c in ("word", "ids"))
+            self.update(zip(words.to_pylist(), range(len(words))))
+            self.flat.frombytes(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+            self.at.frombytes(np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64).tobytes())
+        self.first = len(self)
 
     def _split_off(self, w: str) -> tuple[str, str]:
         """A word's letters and the marks behind them, which the tokenizer splits there as well; otherwise the whole word."""
@@ -67,16 +87,14 @@ class WordTable(dict):
         new = [w for w in dict.fromkeys(words) if w not in self]
         if not new:
             return
-        if len(self) + len(new) > self.most:
-            self.clear()
-            self.parts.clear()
-            self.flat, self.at = array("i"), array("q", [0])
-            new = list(dict.fromkeys(words))
+        if len(self) - self.first + len(new) > self.most:
+            self.start()
+            new = [w for w in dict.fromkeys(words) if w not in self]
         split = [self._split_off(w) for w in new]
         unknown = [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in self.parts]
         for at in range(0, len(unknown), 1000):  # the library's results are large objects
             few = unknown[at : at + 1000]
-            self.parts.update((x, array("i", e.ids)) for x, e in zip(few, self.encoder.encode_batch_fast(few, add_special_tokens=False)))
+            self.parts.update((x, array("i", e.ids)) for x, e in zip(few, _tokenizer(self.definition).encode_batch_fast(few, add_special_tokens=False)))
         for w, (core, tail) in zip(new, split):
             self[w] = len(self.at) - 1
             self.flat.extend(self.parts[core])
@@ -96,6 +114,57 @@ class WordTable(dict):
         return flat[np.repeat(at[place] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
 
+def word_counts(docs: DataFrame, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
+    """The distinct words of all texts (those of up to LONGEST characters), each with its number of occurrences: word, n."""
+
+    def run(batches):
+        seen: Counter[str] = Counter()
+        for b in cut(batches, text_col, max_bytes=1 << 20):
+            for t in b.column(text_col).to_pylist():
+                if t:
+                    seen.update(_split(t))
+            if len(seen) >= table_words:
+                yield from flush(seen)
+                seen.clear()
+        yield from flush(seen)
+
+    def flush(seen):
+        kept = [w for w in seen if len(w) <= LONGEST]
+        for at in range(0, len(kept), 10_000):
+            few = kept[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(few, pa.string()), pa.array([seen[w] for w in few], pa.int64())], names=["word", "n"])
+
+    return docs.select(text_col).mapInArrow(releasing(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> pa.Table:
+    """word, ids of the most frequent distinct words, at most table_words (all of them, if there are no more), each encoded once.
+
+    Words are taken by classes of their count (16 to a doubling), so that the choice needs a histogram and no sort.
+    """
+    spark = docs.sparkSession
+    counts = stored(spark, word_counts(docs, text_col, table_words))
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for at, n in sorted(map(tuple, counts.groupBy(level).count().collect()), reverse=True):
+        total += n
+        if total > table_words:
+            break
+        least = at
+
+    def run(batches):
+        for b in batches:
+            table = WordTable(definition, b.num_rows)
+            ids, sizes = table.encode(b.column("word").to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("word"), ids], names=["word", "ids"])
+
+    chosen = counts.select("word").where(F.lit(False) if least is None else level >= least)
+    table = chosen.mapInArrow(releasing(run, _tokenizer), "word string, ids array<int>").toArrow()
+    dropped(spark, counts)
+    return table
+
+
 def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
     """docs with ids (array of int); an older column ids is replaced. definition: the tokenizer's JSON text.
 
@@ -104,12 +173,15 @@ def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words
     comes back. An empty table gives an empty result.
     """
     source = docs.select(*[c for c in docs.columns if c != "ids"])
-    return source.mapInArrow(releasing(_encoder(definition, text_col, table_words), _tokenizer), with_fields(source.schema, "ids array<int>"))
+    run = _encoder(docs, definition, text_col, table_words)
+    return source.mapInArrow(releasing(run, _tokenizer), with_fields(source.schema, "ids array<int>"))
+
 
+def _encoder(docs: DataFrame, definition: str, text_col: str, table_words: int):
+    shared = docs.sparkSession.sparkContext.broadcast(word_table(docs, definition, text_col, table_words))
 
-def _encoder(definition: str, text_col: str, table_words: int):
     def run(batches):
-        table = WordTable(definition, table_words)
+        table = WordTable(definition, table_words, shared.value)
         for b in cut(batches, text_col, max_bytes=1 << 20):
             words = [_split(t) if t else [] for t in b.column(text_col).to_pylist()]
             ids, sizes = table.encode([w for ws in words for w in ws])
@@ -158,7 +230,7 @@ def round_trip(docs: DataFrame, definition: str, text_col: str = "text", table_w
     """decode(encode(docs)), both in the same Python worker; the text doesn't come back."""
     keep = [c for c in docs.columns if c not in ("ids", "decoded", text_col)]
     source = docs.select(*keep, text_col)
-    there, back = _encoder(definition, text_col, table_words), _decoder(definition, "ids")
+    there, back = _encoder(docs, definition, text_col, table_words), _decoder(definition, "ids")
 
     def run(batches):
         for b in back(there(batches)):
