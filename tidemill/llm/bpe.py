@@ -33,7 +33,7 @@ CONTROL = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 #: Marks that the tokenizer never joins to letters.
-MARKS = ",.!?;:"
+MARKS = ",.!?;:#$%&*()[]{}-+=/\\~\"@^_"
 
 #: A longer word isn't kept in the shared table.
 LONGEST = 48
@@ -50,7 +50,17 @@ def _tokenizer(definition: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def _word_ends(definition: str) -> np.ndarray:
+    """id -> whether its piece ends a word (never, for vocabularies without a mark for that)."""
+    end = json.loads(definition)["model"].get("end_of_word_suffix")
+    return np.array([bool(end) and p.endswith(end) for p in pieces(definition)])
+
+
 def _split(text: str) -> list[str]:
+    """Words, in lower case where that can't make a control string of another one."""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
     return [w for w in SPACE.split(text) if w] if CONTROL.search(text) else text.split()
 
 
@@ -91,10 +101,15 @@ class WordTable(dict):
             self.start()
             new = [w for w in dict.fromkeys(words) if w not in self]
         split = [self._split_off(w) for w in new]
-        unknown = [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in self.parts]
+        unknown = []
+        for part in dict.fromkeys(x for pair in split for x in pair if x):
+            if part in self:
+                place = self[part]
+                self.parts[part] = self.flat[self.at[place] : self.at[place + 1]]
+            elif part not in self.parts:
+                unknown.append(part)
         for at in range(0, len(unknown), 1000):  # the library's results are large objects
-            few = unknown[at : at + 1000]
-            self.parts.update((x, array("i", e.ids)) for x, e in zip(few, _tokenizer(self.definition).encode_batch_fast(few, add_special_tokens=False)))
+            self._encode_parts(unknown[at : at + 1000])
         for w, (core, tail) in zip(new, split):
             self[w] = len(self.at) - 1
             self.flat.extend(self.parts[core])
@@ -102,6 +117,18 @@ class WordTable(dict):
                 self.flat.extend(self.parts[tail])
             self.at.append(len(self.flat))
 
+    def _encode_parts(self, few: list[str]) -> None:
+        """Runs of letters or marks go through the library as one text, whose ids are cut at the pieces that end a word."""
+        encoder, ends = _tokenizer(self.definition), _word_ends(self.definition)
+        runs = [x for x in few if x.isalpha() or not x.strip(MARKS)]
+        ids = encoder.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
+        stops = (np.flatnonzero(ends[ids]) + 1).tolist() if ids else []
+        if len(stops) == len(runs):
+            ids = array("i", ids)
+            self.parts.update((x, ids[i:j]) for x, i, j in zip(runs, [0, *stops], stops))
+            few = [x for x in few if x not in self.parts]
+        self.parts.update((x, array("i", e.ids)) for x, e in zip(few, encoder.encode_batch_fast(few, add_special_tokens=False)))
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids, and how many each word has: the table joined to the words by position."""
         self.learn(words)
@@ -160,7 +187,7 @@ def word_table(docs: DataFrame, definition: str, text_col: str = "text", table_w
             yield pa.RecordBatch.from_arrays([b.column("word"), ids], names=["word", "ids"])
 
     chosen = counts.select("word").where(F.lit(False) if least is None else level >= least)
-    table = chosen.mapInArrow(releasing(run, _tokenizer), "word string, ids array<int>").toArrow()
+    table = chosen.mapInArrow(releasing(run, _tokenizer, _word_ends), "word string, ids array<int>").toArrow()
     dropped(spark, counts)
     return table
 
@@ -174,7 +201,7 @@ def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words
     """
     source = docs.select(*[c for c in docs.columns if c != "ids"])
     run = _encoder(docs, definition, text_col, table_words)
-    return source.mapInArrow(releasing(run, _tokenizer), with_fields(source.schema, "ids array<int>"))
+    return source.mapInArrow(releasing(run, _tokenizer, _word_ends), with_fields(source.schema, "ids array<int>"))
 
 
 def _encoder(docs: DataFrame, definition: str, text_col: str, table_words: int):
@@ -236,7 +263,7 @@ def round_trip(docs: DataFrame, definition: str, text_col: str = "text", table_w
         for b in back(there(batches)):
             yield b.select([*keep, "ids", "decoded"])
 
-    return source.mapInArrow(releasing(run, _tokenizer), with_fields(source.select(*keep).schema, "ids array<int>, decoded string"))
+    return source.mapInArrow(releasing(run, _tokenizer, _word_ends), with_fields(source.select(*keep).schema, "ids array<int>, decoded string"))
 
 
 def digests() -> list[Column]:
