@@ -70,6 +70,12 @@ def test_bpe_empty(spark, empty):
     assert bpe.decode(bpe.encode(empty, queries.vocabulary()), queries.vocabulary()).count() == 0
 
 
+def test_bpe_segments():
+    for text in ("", "ab cd", "a" * 50 + " b", "one two\u00a0three\nfour " * 9):
+        parts = list(bpe._segments(text, 10))
+        assert "".join(parts) == text and [w for p in parts for w in bpe._split(p)] == bpe._split(text)
+
+
 def test_bpe_word_table(spark, edges):
     """Each distinct word once, with the library's ids; a small bound keeps the most frequent ones."""
     from tokenizers import Tokenizer

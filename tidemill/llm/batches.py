@@ -37,14 +37,19 @@ def releasing(run: Callable, *caches) -> Callable:
         yield from run(batches)
         for c in caches:
             c.cache_clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            return
+        trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Return free memory to the system, after something large was loaded or dropped."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut, releasing, with_fields
+from .batches import cut, releasing, trim, with_fields
 from .shared import dropped, stored
 
 #: Characters that str.split() takes as white space and the tokenizer doesn't.
@@ -64,6 +64,19 @@ def _split(text: str) -> list[str]:
     return [w for w in SPACE.split(text) if w] if CONTROL.search(text) else text.split()
 
 
+def _segments(text: str, size: int = 1 << 18):
+    """The text in parts of about `size` characters, cut at white space (a longer word stays whole)."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
+        if end <= at:
+            space = SPACE.search(text, at + size)
+            end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class WordTable(dict):
     """word -> place; at[place] to at[place + 1] are the word's ids in `flat`.
 
@@ -77,7 +90,6 @@ class WordTable(dict):
 
     def start(self) -> None:
         self.clear()
-        self.parts: dict[str, array] = {}
         self.flat, self.at = array("i"), array("q", [0])
         if self.shared is not None and self.shared.num_rows:
             words, ids = (self.shared.column(c).combine_chunks() for c in ("word", "ids"))
@@ -101,21 +113,17 @@ class WordTable(dict):
             self.start()
             new = [w for w in dict.fromkeys(words) if w not in self]
         split = [self._split_off(w) for w in new]
-        unknown = []
-        for part in dict.fromkeys(x for pair in split for x in pair if x):
-            if part in self:
-                place = self[part]
-                self.parts[part] = self.flat[self.at[place] : self.at[place + 1]]
-            elif part not in self.parts:
-                unknown.append(part)
+        unknown = [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in self]
         for at in range(0, len(unknown), 1000):  # the library's results are large objects
             self._encode_parts(unknown[at : at + 1000])
-        for w, (core, tail) in zip(new, split):
-            self[w] = len(self.at) - 1
-            self.flat.extend(self.parts[core])
-            if tail:
-                self.flat.extend(self.parts[tail])
-            self.at.append(len(self.flat))
+        for w, parts in zip(new, split):
+            if w not in self:
+                self._add(w, [i for x in parts if x for i in self.flat[self.at[self[x]] : self.at[self[x] + 1]]])
+
+    def _add(self, word: str, ids) -> None:
+        self[word] = len(self.at) - 1
+        self.flat.extend(ids)
+        self.at.append(len(self.flat))
 
     def _encode_parts(self, few: list[str]) -> None:
         """Runs of letters or marks go through the library as one text, whose ids are cut at the pieces that end a word."""
@@ -124,10 +132,11 @@ class WordTable(dict):
         ids = encoder.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
         stops = (np.flatnonzero(ends[ids]) + 1).tolist() if ids else []
         if len(stops) == len(runs):
-            ids = array("i", ids)
-            self.parts.update((x, ids[i:j]) for x, i, j in zip(runs, [0, *stops], stops))
-            few = [x for x in few if x not in self.parts]
-        self.parts.update((x, array("i", e.ids)) for x, e in zip(few, encoder.encode_batch_fast(few, add_special_tokens=False)))
+            for x, i, j in zip(runs, [0, *stops], stops):
+                self._add(x, ids[i:j])
+            few = [x for x in few if x not in self]
+        for x, e in zip(few, encoder.encode_batch_fast(few, add_special_tokens=False)):
+            self._add(x, e.ids)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids, and how many each word has: the table joined to the words by position."""
@@ -135,22 +144,25 @@ class WordTable(dict):
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         place = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        flat, at = np.array(self.flat, np.int32), np.array(self.at, np.int64)
+        flat, at = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.at, np.int64)
         sizes = at[place + 1] - at[place]
         ends = np.cumsum(sizes)
         return flat[np.repeat(at[place] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
-    """The distinct words of all texts (those of up to LONGEST characters), each with its number of occurrences: word, n."""
+def word_counts(docs: DataFrame, text_col: str = "text", table_words: int = 100_000) -> DataFrame:
+    """The distinct words of all texts (those of up to LONGEST characters), each with its number of occurrences: word, n.
+
+    A task's words are distinct already, so they are dealt before Spark aggregates them.
+    """
 
     def run(batches):
         seen: Counter[str] = Counter()
         for b in cut(batches, text_col, max_bytes=1 << 20):
             for t in b.column(text_col).to_pylist():
-                if t:
-                    seen.update(_split(t))
-            if len(seen) >= table_words:
+                for part in _segments(t or ""):
+                    seen.update(_split(part))
+            if len(seen) >= 2 * table_words:
                 yield from flush(seen)
                 seen.clear()
         yield from flush(seen)
@@ -161,10 +173,10 @@ def word_counts(docs: DataFrame, text_col: str = "text", table_words: int = 200_
             few = kept[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(few, pa.string()), pa.array([seen[w] for w in few], pa.int64())], names=["word", "n"])
 
-    return docs.select(text_col).mapInArrow(releasing(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(releasing(run), "word string, n bigint").repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> pa.Table:
+def word_table(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 100_000) -> pa.Table:
     """word, ids of the most frequent distinct words, at most table_words (all of them, if there are no more), each encoded once.
 
     Words are taken by classes of their count (16 to a doubling), so that the choice needs a histogram and no sort.
@@ -192,7 +204,7 @@ def word_table(docs: DataFrame, definition: str, text_col: str = "text", table_w
     return table
 
 
-def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 100_000) -> DataFrame:
     """docs with ids (array of int); an older column ids is replaced. definition: the tokenizer's JSON text.
 
     The ids are those of encode(text, add_special_tokens=False) on the whole text. It holds for tokenizers whose normaliser and splitting work word
@@ -209,10 +221,17 @@ def _encoder(docs: DataFrame, definition: str, text_col: str, table_words: int):
 
     def run(batches):
         table = WordTable(definition, table_words, shared.value)
-        for b in cut(batches, text_col, max_bytes=1 << 20):
-            words = [_split(t) if t else [] for t in b.column(text_col).to_pylist()]
-            ids, sizes = table.encode([w for ws in words for w in ws])
-            at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))]
+        _word_ends(definition), _tokenizer(definition)
+        trim()
+        for b in cut(batches, text_col, max_bytes=1 << 18):
+            texts = b.column(text_col).to_pylist()
+            if len(texts) == 1:  # perhaps a very long one
+                ids = np.concatenate([table.encode(_split(part))[0] for part in _segments(texts[0] or "")])
+                at = [0, len(ids)]
+            else:
+                words = [_split(t) if t else [] for t in texts]
+                ids, sizes = table.encode([w for ws in words for w in ws])
+                at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))]
             out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "ids"])
 
@@ -242,18 +261,18 @@ def _decoder(definition: str, ids_col: str):
             for at in range(0, batch.num_rows, 128):
                 b = batch.slice(at, 128)
                 col = b.column(ids_col)
-                flat = table[col.flatten().to_numpy(zero_copy_only=False)].tolist()
+                flat = col.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
                 out, start = [], 0
                 for end in ends.tolist():
-                    out.append(" ".join(flat[start:end]))
+                    out.append(" ".join(" ".join(table[flat[i : min(i + 100_000, end)]].tolist()) for i in range(start, end, 100_000)))
                     start = end
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
 
     return run
 
 
-def round_trip(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 200_000) -> DataFrame:
+def round_trip(docs: DataFrame, definition: str, text_col: str = "text", table_words: int = 100_000) -> DataFrame:
     """decode(encode(docs)), both in the same Python worker; the text doesn't come back."""
     keep = [c for c in docs.columns if c not in ("ids", "decoded", text_col)]
     source = docs.select(*keep, text_col)
