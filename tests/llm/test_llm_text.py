@@ -237,5 +237,74 @@ def test_licenses(spark, edges, empty):
     assert licenses.scan(edges).count() == len(EDGES) and licenses.scan(empty).count() == 0
 
 
+APACHE = """Copyright 2020 The Authors
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+"""
+
+
+def test_licenses_real_texts(spark):
+    """Headers and texts as they are published: wrapped, in comments, or on one line."""
+    want = [
+        (APACHE, "APACHE2,APACHE2-USE,APACHE2-AS-IS,APACHE2-SEE", "apache-2.0-full"),
+        (MIT, "MIT,MIT-GRANT,MIT-NOTICE,AS-IS,MIT-LIABLE", "mit-full"),
+        (BSD, "RESERVED,BSD-GRANT,BSD-SOURCE,BSD-BINARY", "bsd"),
+        (GPL.format(":", ",", 3), "GPL3", "gpl-3.0"),
+        (GPL.format(";", ",", 2), "GPL2", "gpl-2.0"),
+        ("You may not use this file except in compliance with the License.", "APACHE2-USE", "apache-2.0"),
+    ]
+    texts = [(f(t), ids, name) for t, ids, name in want for f in (str, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */", lambda t: "".join(f"# {x}\n" for x in t.splitlines()))]
+    texts += [("\n\n".join(" ".join(p.split()) for p in MIT.split("\n\n")), want[1][1], "mit-full")]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["sentence_ids"], r["license"]) for r in got] == [x[1:] for x in texts]
+
+
 def test_vocabulary_is_json():
     assert json.loads(queries.vocabulary())["model"]["type"] == "BPE"
