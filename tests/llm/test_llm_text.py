@@ -208,6 +208,18 @@ def test_extract(spark):
     assert extract.extract(pages.where("false")).count() == 0
 
 
+def test_extract_boilerplate_inside():
+    """Marked blocks between content paragraphs of a marked article or main element, short and long ones."""
+    long = "I read all of this with great interest and would like to add that my own experience was rather different from what is told here. " * 3
+    marked = [f"<{tag}{a}><p>{{}}</p></{tag}>" for tag, a in (("div", " class='ad'"), ("aside", ""), ("div", " class='notice'"), ("div", " class='related'"), ("div", " class='comments'"), ("section", " id='comments'"), ("footer", ""), ("form", ""))]
+    marked += ["<div class='comments'><article class='entry'><div class='text'>{}</div></article></div>", "<aside><article><p>{}</p></article></aside>", "<div class='related-posts'><article class='post'><p>{}</p></article></div>"]
+    for top, end in (("<article class='post'>", "</article>"), ("<main id='content'>", "</main>"), ("<main id='content'><div class='post-content'>", "</div></main>"), ("<main><div class='content with-sidebar'>", "</div></main>"), ("<div class='layout has-comments'><article class='post'>", "</article></div>")):
+        for box in marked:
+            for text in ("Buy this now", long):
+                page = f"<html><body>{top}<h1>Title</h1><p>First.</p>{box.format(text)}<p>Second.</p>{box.format(text)}{end}</body></html>"
+                assert extract.main_text(page) == "Title\nFirst.\nSecond.", (top, box, text)
+
+
 def test_extract_tables(spark, small):
     """On the given pages the article's own blocks, and nothing else."""
     for r in spark.read.parquet(f"{small}/pages.parquet").collect():

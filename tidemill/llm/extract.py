@@ -36,7 +36,10 @@ BAD = frozenset(
     "discussion copyright legal disclaimer pagination pager skip contentinfo complementary dialog form".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
-#: What also marks an article or main element, and what doesn't mark a part of an article.
+#: What an article inside doesn't lift; first words of a class that tells what a layout has; what also marks an article or main element, and what doesn't mark a part of an article.
+LASTING = COMMENTS | frozenset("teaser related recommended sponsored promoted".split())
+ASIDE = frozenset("aside nav".split())
+LAYOUT = frozenset("with without has no".split())
 STRONG = COMMENTS | frozenset("ad ads advert advertisement sponsored promo promoted teaser related recommended".split())
 TITLES = frozenset("header head".split())
 GOOD = frozenset("article content main post entry story body text maintext articlebody".split())
@@ -48,21 +51,22 @@ NEAR, SAME = 0.3, 0.5
 
 
 class _Open:
-    __slots__ = ("tag", "bad", "article", "good", "key", "comment")
+    __slots__ = ("tag", "bad", "article", "good", "key", "lasting")
 
-    def __init__(self, tag, bad, article, good, key, comment):
-        self.tag, self.bad, self.article, self.good, self.key, self.comment = tag, bad, article, good, key, comment
+    def __init__(self, tag, bad, article, good, key, lasting):
+        self.tag, self.bad, self.article, self.good, self.key, self.lasting = tag, bad, article, good, key, lasting
 
 
 def _child(parent: _Open, tag: str, attrs: str, key: int) -> _Open:
-    bad, article, good, comment = parent.bad, parent.article, parent.good, parent.comment
+    bad, article, good, lasting = parent.bad, parent.article, parent.good, parent.lasting
     if tag in PLAIN_BAD:
         bad = min(bad, W_BAD)
+        lasting = lasting or tag in ASIDE
     elif tag in EDGES:
         bad = min(bad, W_EDGE if not article or tag == "footer" else 0.0)
     elif tag in ("article", "main"):
         article = True
-        if not comment:
+        if not lasting:
             bad = 0.0  # a layout's class, as in with-sidebar, doesn't speak for the article inside
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
@@ -72,14 +76,16 @@ def _child(parent: _Open, tag: str, attrs: str, key: int) -> _Open:
             elif name in ("class", "id", "role"):
                 for w in value.split():
                     parts = WORDS.findall(w)
+                    if parts and parts[0] in LAYOUT:
+                        continue
                     marks = () if tag in ("html", "body") else STRONG.intersection(parts) if tag in ("article", "main") else BAD.intersection(parts)
                     fine = not GOOD.isdisjoint(parts)
                     if marks and not ((article or fine) and TITLES.issuperset(marks)):
                         bad = min(bad, W_BAD)
-                        comment = comment or not COMMENTS.isdisjoint(marks)
+                        lasting = lasting or not LASTING.isdisjoint(marks)
                     elif fine:
                         good = True
-    return _Open(tag, bad, article, good, key if tag in CONTAINERS else parent.key, comment)
+    return _Open(tag, bad, article, good, key if tag in CONTAINERS else parent.key, lasting)
 
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
@@ -98,11 +104,12 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             parts.clear()
             if text:
                 top = stack[-1]
-                score = W_BASE + top.bad + (W_ARTICLE if top.article else 0.0) + (W_GOOD if top.good else 0.0)
+                # a mark of boilerplate nearer than the article leaves none of the article's credit
+                score = W_BASE + (top.bad or (W_ARTICLE if top.article else 0.0) + (W_GOOD if top.good else 0.0))
                 share = min(1.0, linked / len(text))
                 if not top.article and share > 0.6:
                     score += W_LINKS
-                if len(text) > 120 and share < 0.3:
+                if len(text) > 120 and share < 0.3 and not top.bad:
                     score += W_LONG
                 out.append((text, score, top.key))
         linked = 0
