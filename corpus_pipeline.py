@@ -17,9 +17,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents whose language can't be told (null texts, texts without a letter)."""
+    """Rejects the documents whose language can't be told: null texts, texts without a letter, and texts with a smaller cosine than
+    any labelled one of the same predicted language and about the same length. If no language was learned, texts with a letter stay.
+    """
     profiles = langid.fit(docs.where(~maxent.held_out(F.col("doc_id"), 5, 0)))
-    return langid.predict(docs, profiles).where("lang_pred <> 'und'").select(*COLUMNS)
+    if not profiles.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    floors = langid.floors(langid.predict(docs.where("lang IS NOT NULL").select("text"), profiles).where("lang_pred <> 'und'"))
+    found = langid.predict(docs, profiles).where("lang_pred <> 'und'").withColumn("band", langid.band())
+    return found.join(F.broadcast(floors), ["lang_pred", "band"], "left").where("floor IS NULL OR score >= floor - 1e-5").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,19 @@ def test_stages(spark, small, outs):
     assert ids.keys() == clean.keys()
 
 
+def test_language_verdict(spark, small):
+    """Unlabelled texts of no learned language go, those of a learned one and all labelled ones stay; without labels every text with a letter stays."""
+    docs = P.table(spark, small, "documents")
+    own = next(r["text"] for r in docs.where("n_chars > 300 AND lang = 'en'").orderBy("doc_id").collect())
+    foreign = ("Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. ", "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。")
+    rows = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate((own, *[x * 4 for x in foreign]))]
+    more = docs.select(*P.COLUMNS).unionByName(spark.createDataFrame(rows, docs.select(*P.COLUMNS).schema))
+    kept = {r["doc_id"] for r in P.language(spark, more, small).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} | {10**9}
+    none = more.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    assert P.language(spark, none, small).count() == sum(any(c.isalpha() for c in r["text"] or "") for r in more.collect())
+
+
 def test_run(spark, small, outs):
     assert sorted(map(str, P.run(spark, small).collect())) == sorted(map(str, outs[-1].collect()))
 

@@ -125,6 +125,28 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
     return Profiles([x for x, k in zip(langs, keep) if k], (matrix[keep] / norm[keep]).astype(np.float32), dims, seed)
 
 
+BANDS = 32  # of a text's length, by powers of two
+
+
+def band(text_col: str = "text"):
+    return F.floor(F.log2(F.char_length(text_col) + F.lit(1))).cast("int")
+
+
+def floors(labelled: DataFrame, text_col: str = "text") -> DataFrame:
+    """(lang_pred, band, floor) from a result of predict(): the least score of each predicted language's texts of a band of lengths.
+
+    A band without texts has the floor of the next shorter one with texts, the shortest ones 0. A row for each language and band, at most.
+    """
+    least = {(r[0], r[1]): r[2] for r in labelled.groupBy("lang_pred", band(text_col).alias("band")).agg(F.min("score").alias("floor")).collect()}
+    rows = []
+    for lang in sorted({x for x, _ in least}):
+        at = 0.0
+        for b in range(BANDS):
+            at = least.get((lang, b), at)
+            rows.append((lang, b, at))
+    return labelled.sparkSession.createDataFrame(rows, "lang_pred string, band int, floor double")
+
+
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the cosine, 0 at least).
 
