@@ -153,6 +153,27 @@ def test_decontaminate_small(spark):
     assert decontaminate.contamination(d.where("false"), b).count() == 0
 
 
+def test_decontaminate_items_without_id(spark, tmp_path):
+    """They are hits, are cut, and count in the query as in its SQL; blocks of the benchmark don't change that."""
+    import duckdb
+
+    items = [(None, "a b c d e f g h i j k"), (None, "p q r s"), (7, "p q r s"), (8, "k l m")]
+    docs = [(1, "x a b c d e f g h i j y"), (2, "x p q r s y"), (3, "x k l m y. A b c d e f g h i j k!"), (4, "nothing")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op7_decontaminate(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.ORACLES["op7_decontaminate"]).fetchall())
+    d, b = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    for block in (3, 1_000_000):
+        found = decontaminate.contamination(d, b, block_words=block)
+        assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: [None], 2: ["7", None], 3: ["8", None], 4: []}
+        clean = {r["doc_id"]: r["text"].split() for r in decontaminate.remove_spans(found, b).collect()}
+        assert clean == {1: ["x", "y"], 2: ["x", "y"], 3: ["x", "y.", "!"], 4: ["nothing"]}
+
+
 def test_fm_index():
     r = np.random.default_rng(1)
     text = r.integers(0, 4, 500)

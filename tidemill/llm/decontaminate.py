@@ -116,6 +116,10 @@ class FMIndex:
         return out
 
 
+def _null_last(x: str | None) -> tuple[bool, str]:
+    return x is None, x or ""
+
+
 @dataclass
 class Windows:
     """The windows of a block of benchmark items."""
@@ -125,14 +129,14 @@ class Windows:
     lengths: np.ndarray
     owner_at: np.ndarray  # window -> slice of owners
     owners: np.ndarray
-    items: list[str]
+    items: list[str | None]
     pairs: np.ndarray  # sorted codes of neighbours in windows
 
     @classmethod
-    def of(cls, items: list[tuple[str, list[bytes]]], size: int) -> Windows:
+    def of(cls, items: list[tuple[str | None, list[bytes]]], size: int) -> Windows:
         vocab: dict[bytes, int] = {}
         seen: dict[tuple, set[int]] = {}
-        names = sorted({i for i, w in items if w})
+        names = sorted({i for i, w in items if w}, key=_null_last)
         at = {x: i for i, x in enumerate(names)}
         for name, w in items:
             ids = [vocab.setdefault(x, len(vocab) + 1) for x in w]
@@ -211,13 +215,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     (merged [start, end) word places, to be removed).
 
     Columns of docs with these names are replaced. Null and wordless texts have no word; items without words have no window;
-    repeated rows and items each count as they are. An empty benchmark or table gives no hit or no row.
+    repeated rows and items each count as they are. Items without an id are searched like others; in items they are together one null, the last, as in a SQL count of distinct ids. An empty benchmark or table gives no hit or no row.
     """
     source = docs.select(*[c for c in docs.columns if c not in NEW])
     out = source.selectExpr("*", "0L AS n_words", "0L AS n_hit", "CAST(array() AS array<string>) AS items", "CAST(array() AS array<array<bigint>>) AS spans")
     block, held = [], 0
     blocks = 0
-    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i IS NOT NULL").orderBy("i", "t").toLocalIterator():
+    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         w = words(row["t"])
         block.append((row["i"], w))
         held += len(w)
@@ -243,7 +247,7 @@ def _pass(docs: DataFrame, w: Windows, text_col: str, shard_bytes: int) -> DataF
             ends = np.cumsum(np.array(lens, np.int64) + 1)
             doc_of = np.repeat(np.arange(len(lens), dtype=np.int32), np.array(lens, np.int64) + 1)
             hit, pairs = search_shard(tokens, doc_of, w)
-            items: dict[int, list[str]] = {}
+            items: dict[int, list[str | None]] = {}
             for d, i in pairs.tolist():
                 items.setdefault(d, []).append(w.items[i])
             d = 0
@@ -255,7 +259,7 @@ def _pass(docs: DataFrame, w: Windows, text_col: str, shard_bytes: int) -> DataF
                     n, spans = _merged(mask, old_spans) if old_spans or mask.any() else (0, [])
                     got["n_words"].append(lens[d])
                     got["n_hit"].append(n)
-                    got["items"].append(sorted({*old_items, *items.get(d, ())}))
+                    got["items"].append(sorted({*old_items, *items.get(d, ())}, key=_null_last))
                     got["spans"].append(spans)
                     d += 1
                 yield pa.RecordBatch.from_arrays([pa.array(got[c], _types[c]) if c in got else b.column(c) for c in b.schema.names], names=b.schema.names)
