@@ -42,8 +42,8 @@ BUCKETS = 1 << 18  # contexts of words that aren't known
 LEAST = 1.0  # tokens that q counts for in a context that was never seen
 PAIR_SHARE = 15  # a pair is looked for among the frequent ones if it is one in 2^15 of the tokens of a chunk
 GRADIENTS = 12  # shards of the class counts
-PART_TOKENS = 1_500_000  # tokens for a part of the word and pair tables
-CHUNK_TOKENS = 1_500_000  # tokens that a task handles at once
+PART_TOKENS = 2_000_000  # tokens for a part of the word and pair tables
+CHUNK_TOKENS = 600_000  # tokens that a task handles at once
 
 #: Kinds of blobs.
 WORDS, PAIRS, KNOWN, RARE, TEXTS, ADDED = range(6)
@@ -129,7 +129,7 @@ def tokens(columns: list[pa.Array], known: Known) -> Tokens:
     token = np.ones(size, bool)
     token[start] = token[start + 1] = False
     at = np.flatnonzero(token)
-    return Tokens(np.repeat(np.arange(len(n)), n + 1), keys[at], ranks[at], cls[at], np.minimum(bucket[at - 1], PREV - 1) * CLASSES + cls[at - 2], g[at - 1])
+    return Tokens(np.repeat(np.arange(len(n), dtype=np.int32), n + 1), keys[at], ranks[at], cls[at], np.minimum(bucket[at - 1], PREV - 1) * CLASSES + cls[at - 2], g[at - 1])
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,12 @@ def _dealt(part: np.ndarray, parts: int, columns: list[np.ndarray]):
         yield p, int(b - a), b"".join(c[a:b].tobytes() for c in columns)
 
 
-def _parsed(n: int, data: bytes, types: list) -> list[np.ndarray]:
+def _buffers(b: pa.RecordBatch):
+    """The blobs' data, without a copy."""
+    return (x.as_buffer() for x in b.column("data"))
+
+
+def _parsed(n: int, data, types: list) -> list[np.ndarray]:
     out, at = [], 0
     for t in types:
         out.append(np.frombuffer(data, t, n, at))
@@ -218,7 +223,7 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: i
 
     def count(batches):
         texts = 0
-        for held in _chunks(batches, "text", 2 * CHUNK_TOKENS):
+        for held in _chunks(batches, "text", 5 * CHUNK_TOKENS):
             key, c = _counted(np.concatenate([word_keys(b.column("text"))[0] for b in held]))
             texts += sum(b.num_rows for b in held)
             for at in range(0, len(key), 200_000):
@@ -314,7 +319,7 @@ def _frequent_pairs(spark: SparkSession, blobs: DataFrame, total: int) -> tuple[
 
     def named(batches):
         for b in batches:
-            for n, data in zip(b.column("n").to_pylist(), b.column("data").to_pylist()):
+            for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
                 f, c = _parsed(n, data, [np.uint64, np.int64])
                 yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c)], names=["f", "n"])
 
@@ -328,7 +333,7 @@ def _frequent_pairs(spark: SparkSession, blobs: DataFrame, total: int) -> tuple[
         wanted = shared.value
         sums = np.zeros(len(wanted), np.int64)
         for b in batches:
-            for n, data in zip(b.column("n").to_pylist(), b.column("data").to_pylist()):
+            for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
                 low, shard, c = _parsed(n, data, [np.uint32, np.uint16, np.uint32])
                 f = (shard.astype(np.uint64) << np.uint64(32)) | low
                 i = np.searchsorted(f, wanted)  # a blob is sorted by shard and pair
@@ -348,7 +353,7 @@ def _class_weights(spark: SparkSession, blobs: DataFrame, passes: int, rate: flo
     def summed(batches):
         cells = np.zeros(CELLS, np.int64)
         for b in batches:
-            for n, data in zip(b.column("n").to_pylist(), b.column("data").to_pylist()):
+            for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
                 cell, c = _parsed(n, data, [np.int32, np.int64])
                 cells[cell] += c
         seen = np.flatnonzero(cells)
@@ -375,7 +380,7 @@ def _gradient(weights: np.ndarray):
     def run(batches):
         feats, g, h = context_features(), None, None
         for b in batches:
-            for n, data in zip(b.column("n").to_pylist(), b.column("data").to_pylist()):
+            for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
                 if g is None:
                     g, h = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES, CLASSES), np.float32)
                 cell, c = _parsed(n, data, [np.int32, np.int64])
@@ -403,11 +408,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
     repeat each come back. An empty table gives an empty result. An unseen word has the probability of one unseen word of its class.
     """
     parts, m = model.parts, model
-    shared = spark.sparkContext.broadcast((m.known, np.log10(m.counts + 1.0), m.counts, m.contexts, m.frequent, m.weights, m.class_norm))
+    shared = spark.sparkContext.broadcast((m.known, np.log10(m.counts + 1.0), m.contexts, m.frequent, m.weights, m.class_norm))
     end_log, norm, has_end = float(np.log10(m.texts + 1.0)), float(np.log10(m.total + m.distinct + 1)), int(m.texts > 0)
 
     def ask(batches):
-        known, log_c, counts, contexts, (often, often_n), weights, class_norm = shared.value
+        known, log_c, contexts, (often, often_n), weights, class_norm = shared.value
+        log_a, log_n_a = np.log10(LEAST + contexts), np.log10(LEAST + 2.0 * contexts)
         logp = np.full((PREV * CLASSES, CLASSES), np.nan, np.float32)
         chunk = TaskContext.get().partitionId() << 33
         for held in _chunks(batches, "text"):
@@ -415,15 +421,14 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
             new = np.unique(t.ctx[np.isnan(logp[t.ctx, 0])])
             for at in range(0, len(new), 512):  # sparse: four weight rows a context
                 logp[new[at : at + 512]] = log_probabilities(weights, new[at : at + 512]) / np.log(10)
-            n = sum(b.num_rows for b in held)
+            n, ids = sum(b.num_rows for b in held), pa.concat_arrays([b.column("id") for b in held])
+            held.clear()
             end, is_known = t.cls == END, t.rank >= 0
             own, rare = (t.cls >= 1) & (t.cls <= TOPS), ~end & (t.rank < 0)
             lc = np.where(is_known, log_c[np.maximum(t.rank, 0)] if len(log_c) else 0.0, 0.0)
-            count_g = contexts[t.g].astype(np.float64)
-            weight = LEAST + count_g
-            # log10 of weight * q, as if a rare word were unseen
-            lq = np.log10(weight) + logp[t.ctx, t.cls] + np.where(end | own, 0.0, lc - class_norm[t.cls])
-            model_ = lq - np.log10(count_g + weight)
+            # log10 of a * q, as if a rare word were unseen
+            lq = logp[t.ctx, t.cls] + np.where(end | own, 0.0, lc - class_norm[t.cls]) + log_a[t.g]
+            model_ = lq - log_n_a[t.g]
             pair = t.pairs()
             shard = t.shards(pair)
             if len(often):
@@ -436,7 +441,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
                 hit = np.zeros(len(pair), bool)
             sums = lambda x: np.bincount(t.doc, x, minlength=n)
             local = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([b.column("id") for b in held]), *map(pa.array, (sums(None), sums(is_known).astype(np.int64) + has_end, sums(lc) + end_log, sums(model_)))],
+                [ids, *map(pa.array, (sums(None), sums(is_known).astype(np.int64) + has_end, sums(lc) + end_log, sums(model_)))],
                 names=["id", "n_tokens", "n_known", "base", "model"],
             )
             sink = pa.BufferOutputStream()
@@ -475,11 +480,11 @@ def _answers(batches):
     part, key, count, feature, times = None, None, None, None, None
     held: dict[int, list] = {WORDS: [], PAIRS: []}
     for b in batches:
-        for to, p, kind, n, data in zip(*(b.column(c).to_pylist() for c in ("to", "part", "kind", "n", "data"))):
+        for to, p, kind, n, data in zip(*(b.column(c).to_pylist() for c in ("to", "part", "kind", "n")), _buffers(b)):
             if p != part:
                 part, key, held = p, None, {WORDS: [], PAIRS: []}
             if kind == TEXTS:
-                yield _blobs([(to, p, kind, n, data)])
+                yield _blobs([(to, p, kind, n, data.to_pybytes())])
                 continue
             if kind in held:
                 held[kind].append(_parsed(n, data, [np.uint64, np.int64] if kind == WORDS else [np.uint32, np.uint16, np.uint32]))
@@ -523,7 +528,7 @@ def _texts(batches):
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     for b in batches:
-        for at, kind, n, data in zip(*(b.column(c).to_pylist() for c in ("to", "kind", "n", "data"))):
+        for at, n, data in zip(*(b.column(c).to_pylist() for c in ("to", "n")), _buffers(b)):
             if at != to:
                 if local is not None:
                     yield row()
