@@ -9,7 +9,7 @@ P(w | h) = (n(g, w) + a q(w | h)) / (n(g) + a) sums to one. g is the previous wo
 
 Scale: three map passes over the texts, in numpy, without a Python object for a word. What is gathered grows with the corpus: a count for
 each distinct word and each distinct pair. A task holds and broadcasts only what has a fixed bound: the known words, the counts of contexts, the pairs
-that are at least one in 2^14 of all tokens (PAIR_SHARE bounds their number). Words and pairs are dealt by hashed shards into
+that are one in 2^PAIR_SHARE of all tokens (so 2^PAIR_SHARE at most). Words and pairs are dealt by hashed shards into
 as many parts as the tokens need; a scoring task sends each part the tokens it has to look up and gets back what they add to their texts. No part is hot: known words are looked up where they
 stand, their pairs are dealt by the pair, the frequent pairs aren't dealt, and any other word is rare. The class counts that the gradient
 passes read have a fixed number of cells.
@@ -40,10 +40,10 @@ CELLS = PREV * CLASSES * CLASSES
 END = 0  # its class; as a context the buckets and classes before a text are 0
 BUCKETS = 1 << 18  # contexts of words that aren't known
 LEAST = 1.0  # tokens that q counts for in a context that was never seen
-PAIR_SHARE = 15  # a pair is looked for among the frequent ones if it is one in 2^15 of the tokens of a chunk
+PAIR_SHARE = 19  # a pair is frequent if it is one in 2^19 of all tokens
 GRADIENTS = 12  # shards of the class counts
-PART_TOKENS = 2_000_000  # tokens for a part of the word and pair tables
-CHUNK_TOKENS = 600_000  # tokens that a task handles at once
+PART_TOKENS = 3_000_000  # tokens for a part of the word and pair tables
+CHUNK_TOKENS = 600_000  # tokens that a scoring task handles at once (training: twice as many, counting words: five times)
 
 #: Kinds of blobs.
 WORDS, PAIRS, KNOWN, RARE, TEXTS, ADDED = range(6)
@@ -161,32 +161,59 @@ def _blobs(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["to", "part", "kind", "n", "data"])
 
 
-def _dealt(part: np.ndarray, parts: int, columns: list[np.ndarray]):
-    """(part, rows, the columns' bytes one behind the other) for each part that has rows."""
+def _buffers(b: pa.RecordBatch):
+    """The blobs' data, without a copy."""
+    return (x.as_buffer() for x in b.column("data"))
+
+
+def _packed(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Columns of numbers, so many bytes of each, plane by plane and compressed."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize)[:, :width].T) for c, width in columns if len(c)]
+    return pa.compress(b"".join(x.tobytes() for x in planes), codec="zstd", asbytes=True)
+
+
+def _parsed(n: int, data, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of _packed as 64-bit numbers."""
+    if not n:
+        return [np.zeros(0, np.uint64) for _ in widths]
+    planes, at, out = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), np.uint8), 0, []
+    for w in widths:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :w] = planes[at : at + n * w].reshape(w, n).T
+        out.append(x.view(np.uint64).ravel())
+        at += n * w
+    return out
+
+
+def _dealt(part: np.ndarray, parts: int, columns: list[tuple[np.ndarray, int]], steps: bool = False):
+    """(part, rows, packed columns) for each part that has rows. steps: the first column is sorted and kept as differences."""
     order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    columns = [c[order] for c in columns]
+    columns = [(c[order], width) for c, width in columns]
     for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         a, b = cuts[p], cuts[p + 1]
-        yield p, int(b - a), b"".join(c[a:b].tobytes() for c in columns)
+        some = [(c[a:b], width) for c, width in columns]
+        if steps:
+            some[0] = (np.diff(some[0][0], prepend=some[0][0].dtype.type(0)), some[0][1])
+        yield p, int(b - a), _packed(some)
 
 
-def _buffers(b: pa.RecordBatch):
-    """The blobs' data, without a copy."""
-    return (x.as_buffer() for x in b.column("data"))
+def _low_bytes(total: int) -> int:
+    """Bytes of a pair's hash besides its shard: the space of features grows with the corpus."""
+    return 3 if total < 1 << 28 else 4 if total < 1 << 36 else 5
 
 
-def _parsed(n: int, data, types: list) -> list[np.ndarray]:
-    out, at = [], 0
-    for t in types:
-        out.append(np.frombuffer(data, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
+def _feature(pair: np.ndarray, shard: np.ndarray, low: int) -> np.ndarray:
+    """What names a pair: its shard, and `low` bytes of its hash."""
+    return (shard.astype(np.uint64) << np.uint64(8 * low)) | (pair & np.uint64((1 << 8 * low) - 1))
+
+
+#: Bytes of the columns of each kind of blob; low stands for the number of a pair's bytes.
+def _widths(kind: int, low: int) -> tuple[int, ...]:
+    return {WORDS: (8, 8), PAIRS: (low, 2, 4), KNOWN: (4, low, 4, 2), RARE: (4, low, 4, 8), ADDED: (4, 4, 8, 4)}[kind]
 
 
-def _feature(pair: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """What names a pair within its part: 16 bits of the shard and 32 of the pair."""
-    return (shard.astype(np.uint64) << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF))
+CELL = (4, 8)
 
 
 @dataclass
@@ -246,31 +273,33 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text", known: i
     key = top["key"].to_numpy(np.int64).view(np.uint64)
     by_key = np.argsort(key, kind="stable")
     words_ = Known(key[by_key], by_key.astype(np.int32))
-    parts = max(1, -(-int(total) // PART_TOKENS))
+    parts, low = max(1, -(-int(total) // PART_TOKENS)), _low_bytes(int(total))
     shared = spark.sparkContext.broadcast(words_)
 
     def gather(batches):
-        known_, cells = shared.value, np.zeros(CELLS, np.int64)
-        for held in _chunks(batches, "text"):
+        known_, cells, often, n_tokens = shared.value, np.zeros(CELLS, np.int64), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+        for held in _chunks(batches, "text", 2 * CHUNK_TOKENS):
             t = tokens([b.column("text") for b in held], known_)
-            cells += np.bincount(t.ctx.astype(np.int64) * CLASSES + t.cls, minlength=CELLS)
+            held.clear()
+            cells += np.bincount(t.ctx * CLASSES + t.cls, minlength=CELLS)
             pair = t.pairs()
-            shard = t.shards(pair)
-            feature, n = _counted(_feature(pair, shard))
-            often = n >= max(2, len(pair) >> PAIR_SHARE)
-            rows = [(0, -1, PAIRS, int(often.sum()), feature[often].tobytes() + n[often].tobytes())]
-            shard = (feature >> np.uint64(32)).astype(np.int64)
-            for p, m, data in _dealt(shard * parts >> 16, parts, [(feature & np.uint64(0xFFFFFFFF)).astype(np.uint32), shard.astype(np.uint16), n.astype(np.uint32)]):
-                rows.append((0, p, PAIRS, m, data))
-            yield _blobs(rows)
+            feature, n = _counted(_feature(pair, t.shards(pair), low))
+            n_tokens += len(pair)
+            often = _counted(*(np.concatenate(x) for x in zip(often, (feature[n > 1], n[n > 1]))))
+            if len(often[0]) > 4 << PAIR_SHARE:
+                often = tuple(x[often[1] > n_tokens >> PAIR_SHARE + 1] for x in often)
+            shard = (feature >> np.uint64(8 * low)).astype(np.int64)
+            yield _blobs([(0, p, PAIRS, m, data) for p, m, data in _dealt(shard * parts >> 16, parts, [(feature, low), (shard.astype(np.uint16), 2), (n.astype(np.uint32), 4)])])
         seen = np.flatnonzero(cells)
-        if len(seen):
-            yield _blobs([(0, -2, p, n, data) for p, n, data in _dealt(seen // CLASSES % GRADIENTS, GRADIENTS, [seen.astype(np.int32), cells[seen]])])
+        some = often[1] >= max(2, n_tokens >> PAIR_SHARE + 1)
+        rows = [(0, -1, PAIRS, int(some.sum()), _packed([(often[0][some], 8), (often[1][some], 8)]))]
+        rows += [(0, -2, p, n, data) for p, n, data in _dealt(seen // CLASSES % GRADIENTS, GRADIENTS, [(seen.astype(np.int32), 4), (cells[seen], 8)])]
+        yield _blobs(rows)
 
     blobs = stored(spark, source.mapInArrow(releasing(gather), BLOB))
     pairs = blobs.where("part >= 0")
     weights = _class_weights(spark, blobs.where("part = -2"), passes, rate, ridge)
-    frequent = _frequent_pairs(spark, blobs, int(total))
+    frequent = _frequent_pairs(spark, blobs, int(total), low)
     contexts = np.zeros(1 + len(top) + BUCKETS, np.int64)
     contexts[0] = texts
     contexts[1 : 1 + len(top)] = top["c"]
@@ -314,14 +343,14 @@ def _bucket_counts(table: DataFrame, shared) -> np.ndarray:
     return out
 
 
-def _frequent_pairs(spark: SparkSession, blobs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that chunks found frequent and that are one in 2^PAIR_SHARE of all tokens in these chunks, so 2^PAIR_SHARE at most, with their full counts."""
+def _frequent_pairs(spark: SparkSession, blobs: DataFrame, total: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that tasks found frequent and that are there, in these tasks, one in 2^PAIR_SHARE of all tokens, so 2^PAIR_SHARE at most, with their full counts."""
 
     def named(batches):
         for b in batches:
             for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
-                f, c = _parsed(n, data, [np.uint64, np.int64])
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c)], names=["f", "n"])
+                f, c = _parsed(n, data, (8, 8))
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c.view(np.int64))], names=["f", "n"])
 
     found = blobs.where("part = -1").mapInArrow(named, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total >> PAIR_SHARE))
     feature = np.sort(found.toPandas()["f"].to_numpy(np.int64).view(np.uint64))
@@ -334,11 +363,11 @@ def _frequent_pairs(spark: SparkSession, blobs: DataFrame, total: int) -> tuple[
         sums = np.zeros(len(wanted), np.int64)
         for b in batches:
             for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
-                low, shard, c = _parsed(n, data, [np.uint32, np.uint16, np.uint32])
-                f = (shard.astype(np.uint64) << np.uint64(32)) | low
+                pair, shard, c = _parsed(n, data, _widths(PAIRS, low))
+                f = _feature(pair, shard, low)
                 i = np.searchsorted(f, wanted)  # a blob is sorted by shard and pair
                 i[i == len(f)] = 0
-                sums += np.where(f[i] == wanted, c[i], 0)
+                sums += np.where(f[i] == wanted, c[i], 0).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], names=["i", "n"])
 
     got = blobs.where("part >= 0").mapInArrow(counts, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
@@ -354,11 +383,11 @@ def _class_weights(spark: SparkSession, blobs: DataFrame, passes: int, rate: flo
         cells = np.zeros(CELLS, np.int64)
         for b in batches:
             for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
-                cell, c = _parsed(n, data, [np.int32, np.int64])
+                cell, c = (x.astype(np.int64) for x in _parsed(n, data, CELL))
                 cells[cell] += c
         seen = np.flatnonzero(cells)
         if len(seen):
-            yield _blobs([(0, -2, 0, len(seen), seen.astype(np.int32).tobytes() + cells[seen].tobytes())])
+            yield _blobs([(0, -2, 0, len(seen), _packed([(seen.astype(np.int32), 4), (cells[seen], 8)]))])
 
     shards = stored(spark, blobs.repartition(GRADIENTS, "kind").mapInArrow(releasing(summed), BLOB))
     weights = np.zeros((FEATURES, CLASSES))
@@ -383,7 +412,7 @@ def _gradient(weights: np.ndarray):
             for n, data in zip(b.column("n").to_pylist(), _buffers(b)):
                 if g is None:
                     g, h = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((FEATURES, CLASSES), np.float32)
-                cell, c = _parsed(n, data, [np.int32, np.int64])
+                cell, c = (x.astype(np.int64) for x in _parsed(n, data, CELL))
                 ctx, inverse = np.unique(cell // CLASSES, return_inverse=True)
                 seen = np.bincount(inverse * CLASSES + cell % CLASSES, c, len(ctx) * CLASSES).reshape(len(ctx), CLASSES)
                 all_ = seen.sum(1, keepdims=True)
@@ -407,7 +436,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
     tokens. id_col is a number (or null); further columns are ignored. Null texts are empty: an end. A very long text is worked through whole, in numpy. Rows and ids that
     repeat each come back. An empty table gives an empty result. An unseen word has the probability of one unseen word of its class.
     """
-    parts, m = model.parts, model
+    parts, low, m = model.parts, _low_bytes(model.total), model
     shared = spark.sparkContext.broadcast((m.known, np.log10(m.counts + 1.0), m.contexts, m.frequent, m.weights, m.class_norm))
     end_log, norm, has_end = float(np.log10(m.texts + 1.0)), float(np.log10(m.total + m.distinct + 1)), int(m.texts > 0)
 
@@ -432,7 +461,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
             pair = t.pairs()
             shard = t.shards(pair)
             if len(often):
-                f = _feature(pair, shard)
+                f = _feature(pair, shard, low)
                 i = np.searchsorted(often, f)
                 i[i == len(often)] = 0
                 hit = (often[i] == f) & ~rare
@@ -451,9 +480,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
             part = shard * parts >> 16
             for kind, some in ((KNOWN, ~rare & ~hit), (RARE, rare)):
                 at = np.flatnonzero(some)
-                cols = [t.doc[at].astype(np.uint32), (pair[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), lq[at].astype(np.float32)]
-                cols += [t.key[at]] if kind == RARE else [shard[at].astype(np.uint16)]
-                rows += [(chunk, p, kind, k, data) for p, k, data in _dealt(part[at], parts, cols)]
+                last = mix(t.key[at]) if kind == RARE else shard[at].astype(np.uint16)
+                cols = zip((t.doc[at], pair[at], lq[at].astype(np.float32), last), _widths(kind, low))
+                rows += [(chunk, p, kind, k, data) for p, k, data in _dealt(part[at], parts, list(cols), steps=True)]
             yield _blobs(rows)
             chunk += 1
 
@@ -462,51 +491,63 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
         for b in batches:
             key = b.column("key").to_numpy().view(np.uint64)
             rare = known.ranks(key) < 0
-            key, c = key[rare], b.column("c").to_numpy()[rare]
-            yield _blobs([(0, p, WORDS, n, data) for p, n, data in _dealt((mix(key) >> np.uint64(48)).astype(np.int64) * parts >> 16, parts, [key, c])])
+            key, c = mix(key[rare]), b.column("c").to_numpy()[rare]
+            yield _blobs([(0, p, WORDS, n, data) for p, n, data in _dealt((key >> np.uint64(48)).astype(np.int64) * parts >> 16, parts, [(key, 8), (c, 8)])])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = source.mapInArrow(releasing(ask), BLOB)
     table = m.table.where("key IS NOT NULL").coalesce(max(1, parts // 2)).mapInArrow(tabled, BLOB)
     every = asked.unionByName(table).unionByName(m.pairs)
     dealt = every.repartition(parts, "part").sortWithinPartitions("part", "kind")
-    answered = dealt.mapInArrow(releasing(_answers), BLOB).repartition("to").sortWithinPartitions("to", "kind")
+    answered = dealt.mapInArrow(releasing(_answers(low)), BLOB).repartition("to").sortWithinPartitions("to", "kind")
     got = answered.mapInArrow(_texts, "id long, n_tokens long, n_known long, base double, model double")
     return got.select(F.col("id").alias(id_col), "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), F.col("model").alias("score"))
 
 
-def _answers(batches):
+def _answers(low: int):
     """For the blobs of a part, tables first: what each chunk's lookups add to its texts. Blobs of texts pass through."""
-    part, key, count, feature, times = None, None, None, None, None
-    held: dict[int, list] = {WORDS: [], PAIRS: []}
-    for b in batches:
-        for to, p, kind, n, data in zip(*(b.column(c).to_pylist() for c in ("to", "part", "kind", "n")), _buffers(b)):
-            if p != part:
-                part, key, held = p, None, {WORDS: [], PAIRS: []}
-            if kind == TEXTS:
-                yield _blobs([(to, p, kind, n, data.to_pybytes())])
-                continue
-            if kind in held:
-                held[kind].append(_parsed(n, data, [np.uint64, np.int64] if kind == WORDS else [np.uint32, np.uint16, np.uint32]))
-                continue
-            if key is None:
-                got = held[WORDS]
-                key, count = _counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                got = held[PAIRS]
-                feature, times = _counted(np.concatenate([(s.astype(np.uint64) << np.uint64(32)) | f for f, s, _ in got]), np.concatenate([x[2] for x in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                held = {WORDS: [], PAIRS: []}
-            doc, low, lq, last = _parsed(n, data, [np.uint32, np.uint32, np.float32, np.uint64 if kind == RARE else np.uint16])
-            shard = mix(last) >> np.uint64(48) if kind == RARE else last.astype(np.uint64)
-            seen = _looked(feature, times, (shard << np.uint64(32)) | low)
-            c = _looked(key, count, last) if kind == RARE else np.zeros(n, np.int64)
-            at = np.flatnonzero((seen > 0) | (c > 0))
-            if not len(at):
-                continue
-            lc = np.log10(c[at] + 1.0)
-            more = np.log10(seen[at] * 10.0 ** -lq[at].astype(np.float64) + c[at] + 1.0)
-            where, doc_at = np.unique(doc[at], return_inverse=True)
-            sums = [np.bincount(doc_at, x, len(where)) for x in (more, lc, c[at] > 0)]
-            yield _blobs([(to, p, ADDED, len(where), where.tobytes() + sums[0].astype(np.float32).tobytes() + sums[1].tobytes() + sums[2].astype(np.uint32).tobytes())])
+
+    def run(batches):
+        part, key, count, feature, times = None, None, None, None, None
+        held: dict[int, list] = {WORDS: [], PAIRS: []}
+        for b in batches:
+            for to, p, kind, n, data in zip(*(b.column(c).to_pylist() for c in ("to", "part", "kind", "n")), _buffers(b)):
+                if p != part:
+                    part, key, held = p, None, {WORDS: [], PAIRS: []}
+                if kind == TEXTS:
+                    yield _blobs([(to, p, kind, n, data.to_pybytes())])
+                    continue
+                if kind == WORDS:
+                    held[kind].append(_parsed(n, data, _widths(kind, low)))
+                    continue
+                if kind == PAIRS:
+                    pair, shard, c = _parsed(n, data, _widths(kind, low))
+                    held[kind].append((_feature(pair, shard, low), c.astype(np.uint32)))
+                    continue
+                if key is None:
+                    key, count = _table(held[WORDS])
+                    feature, times = _table(held[PAIRS])
+                    held = {WORDS: [], PAIRS: []}
+                doc, pair, lq, last = _parsed(n, data, _widths(kind, low))
+                doc, lq = np.cumsum(doc), lq.astype(np.uint32).view(np.float32).astype(np.float64)
+                seen = _looked(feature, times, _feature(pair, last >> np.uint64(48) if kind == RARE else last, low))
+                c = _looked(key, count, last) if kind == RARE else np.zeros(n, np.int64)
+                at = np.flatnonzero((seen > 0) | (c > 0))
+                if not len(at):
+                    continue
+                more = np.log10(seen[at] * 10.0 ** -lq[at] + c[at] + 1.0)
+                where, doc_at = np.unique(doc[at], return_inverse=True)
+                sums = [np.bincount(doc_at, x, len(where)) for x in (more, np.log10(c[at] + 1.0), c[at] > 0)]
+                cols = (where.astype(np.uint32), sums[0].astype(np.float32), sums[1], sums[2].astype(np.uint32))
+                yield _blobs([(to, p, ADDED, len(where), _packed(list(zip(cols, _widths(ADDED, low)))))])
+
+    return run
+
+
+def _table(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _counted(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def _looked(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -535,8 +576,8 @@ def _texts(batches):
                 to, local = at, pa.ipc.open_stream(data).read_next_batch()
                 sums = [local.column(c).to_numpy().copy() for c in ("model", "base", "n_known")]
                 continue
-            where, more, lc, known = _parsed(n, data, [np.uint32, np.float32, np.float64, np.uint32])
-            for s, x in zip(sums, (more, lc, known)):
-                s[where] += x.astype(s.dtype)
+            where, more, lc, known = _parsed(n, data, _widths(ADDED, 0))
+            for s, x in zip(sums, (more.astype(np.uint32).view(np.float32), lc.view(np.float64), known)):
+                s[where.astype(np.int64)] += x.astype(s.dtype)
     if local is not None:
         yield row()
