@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers as P
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,30 @@ def test_bpe_is_the_library(spark, small, edges):
         assert r["ids"] == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_any_characters():
+    """30,000 texts of letters of every kind, marks, joiners, combining characters, blanks and control strings, against the library."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    letters = "abzAZ\u0130\u0131\u00df\u1e9e\u03a3\u03c2\u01c5\u02b0\u0958\u0b5c\u0374\u2126\u212b\u05d0\u4e2d\uf900\uac00\u1100\u1161\u0e01\u0915\u1e00\u00c9\U0001d400\ufb01\u00aa"
+    others = "0\u0660\u00b2\u0301\u0307\u0338\u093f\u200d\u200b\ufeff\u00ad\u0345'\u2019\U0001f600\x00\x1c\x1f\u180e"
+    blanks = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2007\u2028\u2029\u202f\u205f\u3000"
+    pieces = [*letters * 3, *others, *bpe.MARKS, *blanks, "'s", "'T", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "KITAB\u0130", " ", " "]
+    texts = ["\u0130.", "T\u00dcRK\u0130, evet", "K\u0130TAB\u0130: bir"] + ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(30_000)]
+    texts += [f"{a}{m}" for a in letters + others for m in bpe.MARKS]
+    table = bpe.WordTable(queries.vocabulary(), 5_000)
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        words = [bpe._split(x) for x in some]
+        ids, sizes = table.encode([w for ws in words for w in ws])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))]
+        for x, i, j, e in zip(some, ends, ends[1:], t.encode_batch(some, add_special_tokens=False)):
+            assert ids[i:j].tolist() == e.ids, ascii(x)
+
+
 def test_bpe_empty(spark, empty):
     assert bpe.decode(bpe.encode(empty, queries.vocabulary()), queries.vocabulary()).count() == 0
 

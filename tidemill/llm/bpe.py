@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections import Counter
 from functools import lru_cache
@@ -77,6 +78,13 @@ def _segments(text: str, size: int = 1 << 18):
     yield text[at:]
 
 
+def _letters(text: str) -> bool:
+    """Whether a text is letters and stays so in composed form and lower case (a dotted capital I, for one, becomes a letter and a mark)."""
+    if not text.isalpha():
+        return False
+    return text.isascii() or "".join([c.lower() for c in unicodedata.normalize("NFC", text)]).isalpha()
+
+
 class WordTable(dict):
     """word -> place; at[place] to at[place + 1] are the word's ids in `flat`.
 
@@ -101,7 +109,7 @@ class WordTable(dict):
     def _split_off(self, w: str) -> tuple[str, str]:
         """A word's letters and the marks behind them, which the tokenizer splits there as well; otherwise the whole word."""
         core = w.rstrip(MARKS)
-        if not core.isalpha():
+        if not _letters(core):
             return w, ""
         return core.lower() if core.isascii() else core, w[len(core) :]
 
@@ -128,7 +136,7 @@ class WordTable(dict):
     def _encode_parts(self, few: list[str]) -> None:
         """Runs of letters or marks go through the library as one text, whose ids are cut at the pieces that end a word."""
         encoder, ends = _tokenizer(self.definition), _word_ends(self.definition)
-        runs = [x for x in few if x.isalpha() or not x.strip(MARKS)]
+        runs = [x for x in few if not x.strip(MARKS) or _letters(x)]
         ids = encoder.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
         stops = (np.flatnonzero(ends[ids]) + 1).tolist() if ids else []
         if len(stops) == len(runs):

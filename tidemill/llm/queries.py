@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from . import bpe, chat, decontaminate, extract, langid, licenses, maxent, minhash, quality, warc
 from .shared import stored
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str = VOCABULARY) -> str:
+def vocabulary(path: str | None = None) -> str:
+    """The definition of a tokenizer, by default that of the public package."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
     return Path(path).read_text(encoding="utf-8")
 
 
