@@ -399,7 +399,7 @@ def strftime_directives(spark, d):
 
 
 IDS = "ids AS (SELECT event_id AS pos, CASE event_id % 4 WHEN 0 THEN (100000 + user_id)::VARCHAR WHEN 1 THEN substr(md5(user_id::VARCHAR), 1, 12) WHEN 2 THEN event_type ELSE substr(md5('g' || user_id), 1, 8) || '-0000-4000-8000-' || substr(md5('g' || user_id), 9, 12) END AS value FROM events)"
-KIND = "CASE WHEN regexp_full_match(value, '[0-9]+') THEN 'digits(' || length(value) || ')' WHEN regexp_full_match(value, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'guid' WHEN regexp_full_match(value, '[0-9a-f]+') AND regexp_matches(value, '[a-f]') THEN 'hex(' || length(value) || ')' ELSE 'none' END"
+KIND = "CASE WHEN regexp_full_match(value, '[0-9]+') THEN 'digits(' || length(value) || ')' WHEN regexp_full_match(value, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'guid' WHEN regexp_full_match(value, '[0-9a-f]+') AND regexp_matches(value, '[a-f]') THEN 'hex(' || length(value) || ')' WHEN regexp_matches(value, '[0-9A-Za-z]') THEN 'mixed(' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '^([^aA]*)a', '\\1g'), '^([^aAg]*)A', '\\1G') || ')' ELSE 'none' END"
 
 
 def _ids(spark, d) -> DataFrame:
@@ -422,27 +422,72 @@ def rotate_tables(spark, d):
     return rotate.tables(_ids(spark, d))
 
 
-@register()
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _mix64(x: str, tag: str) -> str:
+    """The splitmix finaliser over a UBIGINT."""
+    times = lambda e, f: f"(({e})::UHUGEINT * {f}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    a, b = f"a{tag}", f"b{tag}"
+    last = f"xor({times('c' + tag, identity.MIX2)}, ({times('c' + tag, identity.MIX2)}) >> 31)"
+    return _let(a, x, _let(b, times(f"xor({a}, {a} >> 30)", identity.MIX1), _let("c" + tag, f"xor({b}, {b} >> 27)", last)))
+
+
+_FIXED = "18446744073709551616::UHUGEINT"
+#: Size of a format's space, and the identity x rendered, for the columns kind, w, shape and x.
+_SPACE = """CASE WHEN kind LIKE 'digits%' THEN 9::UHUGEINT * list_reduce(list_concat([1::UHUGEINT], list_transform(range(w - 1), lambda i: 10::UHUGEINT)), lambda a, b: a * b)
+WHEN kind LIKE 'hex%' THEN 6::UHUGEINT * list_reduce(list_concat([1::UHUGEINT], list_transform(range(w - 1), lambda i: 16::UHUGEINT)), lambda a, b: a * b) WHEN kind = 'guid' THEN 5316911983139663491615228241121378304::UHUGEINT
+ELSE list_reduce(list_transform(string_split(shape, ''), lambda c: CASE c WHEN '9' THEN 10 WHEN 'a' THEN 26 WHEN 'A' THEN 26 WHEN 'g' THEN 20 WHEN 'G' THEN 20 ELSE 1 END::UHUGEINT), lambda a, b: a * b) END"""
+_KINDS = "CASE WHEN kind LIKE 'digits%' OR kind LIKE 'hex%' THEN regexp_extract(kind, '\\d+')::INT END AS w, CASE WHEN kind LIKE 'mixed%' THEN substr(kind, 7, length(kind) - 7) END AS shape"
+_hexes = lambda x, n: f"list_aggregate(list_transform(range({n}), lambda i: substr('0123456789abcdef', (({x} // (list_reduce(list_concat([1::UHUGEINT], list_transform(range({n} - 1 - i), lambda j: 16::UHUGEINT)), lambda a, b: a * b))) % 16)::INT + 1, 1)), 'string_agg', '')"
+_RENDER = f"""CASE WHEN kind LIKE 'digits%' THEN (space // 9 + x)::VARCHAR WHEN kind LIKE 'hex%' THEN {_hexes('(space // 6 * 10 + x)', 'w')}
+WHEN kind = 'guid' THEN (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) FROM (SELECT {_hexes('(x // 18889465931478580854784::UHUGEINT)', '12')} || '4' || {_hexes('(x // 4611686018427387904::UHUGEINT % 4096)', '3')} || {_hexes('(x % 4611686018427387904::UHUGEINT + 9223372036854775808::UHUGEINT)', '16')} AS h))
+ELSE list_aggregate(list_transform(range(length(shape)), lambda i: CASE WHEN substr(shape, i + 1, 1) IN ('9', 'a', 'A', 'g', 'G') THEN substr(CASE substr(shape, i + 1, 1) WHEN '9' THEN '0123456789' WHEN 'a' THEN 'abcdefghijklmnopqrstuvwxyz' WHEN 'A' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' WHEN 'g' THEN 'ghijklmnopqrstuvwxyz' ELSE 'GHIJKLMNOPQRSTUVWXYZ' END,
+  ((x // list_reduce(list_concat([1::UHUGEINT], list_transform(string_split(substr(shape, i + 2), ''), lambda c: CASE c WHEN '9' THEN 10 WHEN 'a' THEN 26 WHEN 'A' THEN 26 WHEN 'g' THEN 20 WHEN 'G' THEN 20 ELSE 1 END::UHUGEINT)), lambda a, b: a * b)) % (CASE substr(shape, i + 1, 1) WHEN '9' THEN 10 WHEN 'a' THEN 26 WHEN 'A' THEN 26 ELSE 20 END))::INT + 1, 1) ELSE substr(shape, i + 1, 1) END), 'string_agg', '') END"""
+_RANKS = f"f AS (SELECT {KIND} AS kind, value, min(pos) AS seen FROM ids GROUP BY ALL), tab AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY seen, value) - 1 AS k, count(*) OVER (PARTITION BY kind) AS d FROM f WHERE kind <> 'none')"
+
+
+def _rounds() -> str:
+    """Four Feistel rounds over x with halves of `half` bits, one LATERAL each."""
+    out = ["LATERAL (SELECT (x // pw)::UBIGINT AS l0, (x % pw)::UBIGINT AS r0)"]
+    for r in range(4):
+        key = f"((r{r}::UHUGEINT + {r * identity.ROUND}) % {_FIXED})::UBIGINT"
+        out.append(f"LATERAL (SELECT r{r} AS l{r + 1}, xor(l{r}, ({_mix64(key, str(r))} % pw)::UBIGINT) AS r{r + 1})")
+    return ", ".join(out)
+
+
+@register(
+    f"""WITH RECURSIVE {IDS}, {_RANKS}, ev AS (SELECT pos AS ordinal, value, pos // 1000 AS pass FROM ids),
+s AS (SELECT DISTINCT ev.pass, tab.value, kind, {_KINDS}, k, d FROM ev JOIN tab USING (value)),
+p AS (SELECT *, {_SPACE} AS space FROM s),
+h AS (SELECT *, (SELECT min(b) FROM range(1, 64) t(b) WHERE list_reduce(list_transform(range(b), lambda i: 4::UHUGEINT), lambda a, c: a * c) >= space) AS half FROM p WHERE kind <> 'guid' UNION ALL SELECT *, 61 FROM p WHERE kind = 'guid'),
+walk AS (SELECT kind, w, shape, value, pass, space, (1::UBIGINT << half)::UHUGEINT AS pw, (pass * d + k)::UHUGEINT % space AS x, 0 AS step FROM h
+UNION ALL SELECT kind, w, shape, value, pass, space, pw, l4::UHUGEINT * pw + r4 AS x, step + 1 FROM walk, {_rounds()} WHERE step = 0 OR x >= space),
+done AS (SELECT value, pass, {_RENDER} AS rotated FROM walk WHERE step > 0 AND x < space)
+SELECT ordinal, ev.value, ev.pass, coalesce(rotated, ev.value) AS rotated FROM ev LEFT JOIN done USING (value, pass)"""
+)
 def rotate_pass(spark, d):
     ids = _ids(spark, d)
     return rotate.rotate_pass(ids.select(F.col("pos").alias("ordinal"), "value"), rotate.tables(ids), 1000).select("ordinal", "value", "pass", "rotated")
 
 
-@register()
+@register(
+    f"""WITH {IDS}, ev AS (SELECT pos, value, greatest(epoch(ts)::BIGINT, 0) // 3600 AS "window", {KIND} AS kind FROM ids JOIN (SELECT event_id AS pos, ts FROM events) USING (pos)),
+s AS (SELECT DISTINCT value, "window", kind, {_KINDS} FROM ev WHERE kind <> 'none'), p AS (SELECT *, {_SPACE} AS space FROM s),
+f AS (SELECT *, xor(list_reduce(list_concat([{identity.FNV0}::UBIGINT], list_transform(string_split(value, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: (xor(a, c)::UHUGEINT * {identity.FNVP} % {_FIXED})::UBIGINT), ("window"::UHUGEINT * {identity.GOLDEN}::UHUGEINT % {_FIXED})::UBIGINT) AS seed FROM p),
+a AS (SELECT *, {_mix64('seed', '_lo')} AS lo FROM f), b AS (SELECT *, {_mix64(f'xor(lo, {0xA5A5A5A5A5A5A5A5}::UBIGINT)', '_hi')} AS hi FROM a),
+g AS (SELECT *, (hi::UHUGEINT * {_FIXED} + lo) % space AS x FROM b), done AS (SELECT value, "window", {_RENDER} AS rotated FROM g)
+SELECT pos, ev.value, ev."window", coalesce(rotated, ev.value) AS rotated FROM ev LEFT JOIN done USING (value, "window")"""
+)
 def rotate_window(spark, d):
     ids = _ids(spark, d).select("pos", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"))
     return rotate.rotate_window(ids, 3600).select("pos", "value", "window", "rotated")
 
 
-@register(
-    f"""WITH {IDS}, f AS (SELECT {KIND} AS kind, count(DISTINCT value) AS d FROM ids GROUP BY 1 HAVING kind LIKE 'digits%' OR kind LIKE 'hex%'),
-s AS (SELECT d, CASE WHEN kind LIKE 'digits%' THEN 9 * pow(10, regexp_extract(kind, '\\d+')::INT - 1) ELSE 6 * pow(16, regexp_extract(kind, '\\d+')::INT - 1) END AS space FROM f) SELECT min(floor(space / d))::BIGINT AS capacity FROM s"""
-)
+@register(f"WITH {IDS}, {_RANKS}, s AS (SELECT DISTINCT kind, d, {_KINDS} FROM tab), p AS (SELECT d, {_SPACE} AS space FROM s) SELECT min(space // d)::BIGINT AS capacity FROM p")
 def rotate_capacity(spark, d):
-    sizes = rotate.tables(_ids(spark, d)).groupBy("kind").agg(F.max("d").alias("d")).where("kind <> 'guid'")
-    w = F.regexp_extract("kind", r"\d+", 0).cast("int")
-    room = F.when(F.col("kind").startswith("digits"), 9 * F.pow(F.lit(10.0), w - 1)).otherwise(6 * F.pow(F.lit(16.0), w - 1))
-    return sizes.agg(F.min(F.floor(room / F.col("d"))).cast("bigint").alias("capacity"))
+    return spark.createDataFrame([(rotate.capacities(rotate.tables(_ids(spark, d))),)], "capacity long")
 
 
 @register(f"WITH {RAW} SELECT ordinal, '{{\"time\":' || (epoch_us(ts) // 1000000) || ',\"host\":\"h' || (user_id % 5) || '\",\"source\":null,\"sourcetype\":\"' || event_type || '\",\"index\":\"main\",\"event\":' || to_json(raw) || '}}' AS line FROM ev")
