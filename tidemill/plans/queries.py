@@ -473,7 +473,7 @@ def rotate_pass(spark, d):
 
 
 @register(
-    f"""WITH {IDS}, ev AS (SELECT pos, value, greatest(epoch(ts)::BIGINT, 0) // 3600 AS "window", {KIND} AS kind FROM ids JOIN (SELECT event_id AS pos, ts FROM events) USING (pos)),
+    f"""WITH {IDS}, ev AS (SELECT pos, value, greatest(epoch_us(ts) // 1000000, 0) // 3600 AS "window", {KIND} AS kind FROM ids JOIN (SELECT event_id AS pos, ts FROM events) USING (pos)),
 s AS (SELECT DISTINCT value, "window", kind, {_KINDS} FROM ev WHERE kind <> 'none'), p AS (SELECT *, {_SPACE} AS space FROM s),
 f AS (SELECT *, xor(list_reduce(list_concat([{identity.FNV0}::UBIGINT], list_transform(string_split(value, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: (xor(a, c)::UHUGEINT * {identity.FNVP} % {_FIXED})::UBIGINT), ("window"::UHUGEINT * {identity.GOLDEN}::UHUGEINT % {_FIXED})::UBIGINT) AS seed FROM p),
 a AS (SELECT *, {_mix64('seed', '_lo')} AS lo FROM f), b AS (SELECT *, {_mix64(f'xor(lo, {0xA5A5A5A5A5A5A5A5}::UBIGINT)', '_hi')} AS hi FROM a),
