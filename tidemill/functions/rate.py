@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,22 @@ def factor(settings: dict[str, str], when: Column, only: tuple[str, ...] = tuple
     return reduce(lambda a, b: a * b, parts, F.lit(1.0))
 
 
+def factor_at(settings: dict[str, str], when) -> float:
+    """factor on the driver, for one time."""
+    keys = {"hourOfDayRate": when.hour, "dayOfWeekRate": when.isoweekday() % 7, "minuteOfHourRate": when.minute, "dayOfMonthRate": when.day, "monthOfYearRate": when.month}
+    out = 1.0
+    for name, key in keys.items():
+        try:
+            out *= float(json.loads(settings.get(name) or "{}").get(str(key), 1.0))
+        except (ValueError, AttributeError, TypeError):
+            continue
+    return out
+
+
+def half_even(x: float) -> int:
+    return round(x)
+
+
 def jitter(randomize: float, d: Column) -> Column:
     """1 +- randomize / 2, in steps of a thousandth."""
     bound = round(randomize * 1000)

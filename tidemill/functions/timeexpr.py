@@ -20,7 +20,7 @@ UNITS = {
     **dict.fromkeys(("y", "yr", "yrs", "year", "years"), "y"),
 }
 #: Absolute formats, tried in order.
-ABSOLUTE = ("%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%m/%d/%Y:%H:%M:%S", "%m/%d/%Y %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%d/%b/%Y:%H:%M:%S", "%b %d %Y %H:%M:%S", "%Y-%m-%d", "%m/%d/%Y", "%Y/%m/%d")
+ABSOLUTE = ("%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%m/%d/%Y:%H:%M:%S", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%Y/%m/%d %H:%M:%S", "%d/%b/%Y:%H:%M:%S", "%b %d %Y %H:%M:%S", "%Y-%m-%d", "%m/%d/%Y", "%Y/%m/%d")
 
 
 def add_units(t: datetime, n: int, unit: str) -> datetime:
@@ -99,6 +99,70 @@ def parse_time(text: str, now: datetime) -> datetime:
     raise ValueError(f"no time: {text!r}")
 
 
+def offset_seconds(text: str) -> float:
+    """Signed seconds of `now` or [+-]N(ms|s|m|h|d)."""
+    if text.strip() == "now":
+        return 0.0
+    m = re.fullmatch(r"([+-]?)(\d+)(ms|s|m|h|d)", text.strip())
+    if not m:
+        raise ValueError(f"no offset: {text!r}")
+    return float(m[1] + m[2]) * {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400}[m[3]]
+
+
+def has_conversion(fmt: str) -> bool:
+    """Whether a format has a conversion; %% is none."""
+    return re.search(r"%[-_0^#]*\d*[EO]?[A-Za-z]", fmt.replace("%%", "")) is not None
+
+
+#: What each directive of a lenient parse reads.
+READS = {
+    "Y": r"(?P<Y>\d{4})", "y": r"(?P<y>\d{2})", "m": r"(?P<m>\d{1,2})", "d": r"\s*(?P<d>\d{1,2})", "e": r"\s*(?P<d>\d{1,2})", "H": r"\s*(?P<H>\d{1,2})", "k": r"\s*(?P<H>\d{1,2})", "I": r"\s*(?P<I>\d{1,2})", "l": r"\s*(?P<I>\d{1,2})",
+    "M": r"(?P<M>\d{1,2})", "S": r"(?P<S>\d{1,2})", "f": r"(?P<f>\d{1,6})", "j": r"(?P<j>\d{1,3})", "p": r"(?P<p>[AaPp][Mm])", "z": r"(?:Z|[+-]\d\d:?\d\d)", "Z": r"[A-Za-z]*",
+    "b": r"(?P<b>[A-Za-z]{3})[a-z]*", "h": r"(?P<b>[A-Za-z]{3})[a-z]*", "B": r"(?P<b>[A-Za-z]{3})[a-z]*", "a": r"[A-Za-z]+", "A": r"[A-Za-z]+", "s": r"(?P<s>\d+)", "n": r"\s+", "t": r"\s+", "%": "%",
+}
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def scan_time(text: str, fmt: str) -> datetime | None:
+    """A lenient parse: short numbers, any run of blanks for a blank, %y from 1969 on, an offset dropped, 1900 without a year. What follows must end the text; None if it doesn't fit."""
+    for short, long in (("%T", "%H:%M:%S"), ("%F", "%Y-%m-%d"), ("%D", "%m/%d/%y"), ("%R", "%H:%M")):
+        fmt = fmt.replace(short, long)
+    pattern, seen = [], set()
+    for m in re.finditer(r"%[-_0^#]*\d*([A-Za-z%])|(\s+)|(.)", fmt, re.S):
+        if m[1]:
+            if m[1] not in READS:
+                return None
+            part = READS[m[1]]
+            name = re.search(r"\?P<(\w)>", part)
+            pattern.append(part if not name or name[1] not in seen else part.replace(f"?P<{name[1]}>", "?:"))
+            seen |= {name[1]} if name else set()
+        else:
+            pattern.append(r"\s+" if m[2] else re.escape(m[3]))
+    found = re.fullmatch("".join(pattern), text.strip(), re.ASCII)
+    if not found:
+        return None
+    g = {k: v for k, v in found.groupdict().items() if v is not None}
+    try:
+        if "s" in g:
+            return datetime(1970, 1, 1) + timedelta(seconds=int(g["s"]))
+        year = int(g["Y"]) if "Y" in g else (2000 if int(g["y"]) < 69 else 1900) + int(g["y"]) if "y" in g else 1900
+        month = MONTHS.index(g["b"].lower()) + 1 if "b" in g else int(g.get("m", 1))
+        hour = int(g.get("H", 0))
+        if "I" in g:
+            hour = int(g["I"]) % 12 + (12 if g.get("p", "").lower() == "pm" else 0)
+        at = datetime(year, month, int(g.get("d", 1)), hour, int(g.get("M", 0)), int(g.get("S", 0)), int(g.get("f", "0").ljust(6, "0")))
+        return at.replace(month=1, day=1) + timedelta(days=int(g["j"]) - 1) if "j" in g else at
+    except ValueError:
+        return None
+
+
+def stamp(micros: Column) -> Column:
+    """2026-01-02 03:04:05, with .ffffff if there is a fraction."""
+    t = F.timestamp_micros(micros).cast("timestamp_ntz")
+    rest = F.pmod(micros, F.lit(1_000_000))
+    return F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))))
+
+
 def snap_column(t: Column, unit: str) -> Column:
     """Snap as a Column over timestamps; w, w0 ... w6 are weeks from Sunday, Monday, ..."""
     if unit[0] == "w":

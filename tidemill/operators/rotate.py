@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,7 +92,6 @@ def rewriter(pattern: str, policy: str, table: dict[tuple[str, str], tuple[int,
     """
     start = -(-base // lines)
 
-    @lru_cache(maxsize=1 << 16)
     def turned(value: str, turn: int) -> str:
         kind = policy_kind(policy, value)
         if kind == "none" or window is None and (kind, value) not in table:
@@ -105,16 +103,20 @@ def rewriter(pattern: str, policy: str, table: dict[tuple[str, str], tuple[int,
             new = window_identity(kind, value, turn)
         return new.upper() if upper_case(value) and not kind.startswith("mixed(") else new
 
-    def one(text: str, ordinal: int, epoch: int) -> str:
+    def one(text: str, ordinal: int, epoch: int, seen: dict) -> str:
         parts, at = [], 0
         turn = ordinal // lines + start if window is None else max(epoch, 0) // window
         for a, b in spans(pattern, text):
-            parts += [text[at:a], turned(text[a:b], turn)]
+            key = (text[a:b], turn)
+            if key not in seen:
+                seen[key] = turned(*key)
+            parts += [text[at:a], seen[key]]
             at = b
         return "".join(parts) + text[at:]
 
     @F.pandas_udf(StringType())
     def rewrite(text: pd.Series, ordinal: pd.Series, epoch: pd.Series) -> pd.Series:
-        return pd.Series([one(*x) for x in zip(text, ordinal, epoch)], dtype=object)
+        seen: dict = {}  # of this batch
+        return pd.Series([one(*x, seen) for x in zip(text, ordinal, epoch)], dtype=object)
 
     return rewrite

@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions import envelope, identity, rate, timeexpr, tokens
 from ..functions.draw import below, draw
-from ..operators import replay, rotate, sinks, spine
+from ..operators import replay, rotate, sinks, spine, template
+from ..sources import conf, ini, samples
+from . import generate
 
 START, HOURS, SEED = 1704067200, 48, 7
 RATES = {"hourOfDayRate": "{" + ",".join(f'"{h}":{(h % 4 + 1) * 0.5}' for h in range(24)) + "}"}
@@ -25,8 +27,8 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def sample(spark: SparkSession, d: str) -> DataFrame:
     """customer as a sample file: a line for each customer, in key order."""
     line = F.concat(F.lit("user="), F.col("c_custkey").cast("string"), F.lit(" seg="), F.col("c_mktsegment"))
-    n = F.row_number().over(Window.orderBy("c_custkey")) - 1
-    return t(spark, d, "customer").select(n.cast("bigint").alias("line_no"), line.alias("raw")).withColumn("size", F.octet_length("raw").cast("bigint") + 1)
+    keyed = t(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), line.alias("raw"))
+    return spine.match_rank(keyed, F.lit(True), "line_no").select("line_no", "raw", (F.octet_length("raw").cast("bigint") + 1).alias("size"))
 
 
 def lines_n(s: DataFrame) -> int:
@@ -116,16 +118,17 @@ def bytefill_sequential(spark, d):
 
 
 @register(
-    f"""WITH {CUSTOMER}, pick AS (SELECT o AS ordinal, {sql_draw('s', 'fill', 'o')} % n.n AS line_no FROM range(2000) r(o), n),
-run AS (SELECT ordinal, line_no, raw, coalesce(sum(strlen(raw) + 1) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM pick JOIN lines USING (line_no))
-SELECT ordinal, line_no, raw FROM run WHERE before < 20000"""
+    f"""WITH {CUSTOMER}, w AS (SELECT i AS interval_no, 9000 + 4000 * i AS bytes FROM range(12) r(i)), ch AS (SELECT interval_no, f AS fill_no, least(16384, bytes - f * 16384) AS fill_bytes FROM w, LATERAL (SELECT unnest(range((bytes + 16383) // 16384)) AS f)),
+pick AS (SELECT interval_no, fill_no, fill_bytes, p AS pick_no, ('0x' || substr(md5('{SEED}|s|fill|' || interval_no || '/' || fill_no || '/' || p), 1, 15))::BIGINT % n.n AS line_no FROM ch, range(2000) r(p), n),
+run AS (SELECT interval_no, fill_no, pick_no, line_no, raw, fill_bytes, coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY interval_no, fill_no ORDER BY pick_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM pick JOIN lines USING (line_no))
+SELECT interval_no, fill_no, pick_no, raw FROM run WHERE before < fill_bytes"""
 )
 def bytefill_random(spark, d):
     s = sample(spark, d)
-    picks = spark.range(2000).select(F.col("id").alias("ordinal"))
-    chosen = spine.on_line(picks, s, below(draw(SEED, "s", "fill", F.col("ordinal")), lines_n(s)))
-    w = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return chosen.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where("before < 20000").select("ordinal", "line_no", "raw")
+    n, least = s.agg(F.count("*"), F.min("size")).first()
+    wanted = spark.range(12).select(F.col("id").alias("interval_no"), (9000 + 4000 * F.col("id")).alias("bytes"))
+    pick = lambda fill, no: draw(SEED, "s", "fill", F.concat_ws("/", F.col("interval_no").cast("string"), fill.cast("string"), no.cast("string")))
+    return spine.random_fill(wanted, s, pick, n, least, 16384).select("interval_no", "fill_no", "pick_no", "raw")
 
 
 @register("SELECT event_id, (hour(ts) % 4 + 1) * 0.5::DOUBLE AS factor FROM events")
@@ -176,22 +179,22 @@ def pivot_uniform(spark, d):
 
 @register(f"WITH {GRID} SELECT ordinal, t * 1000000 + ((lt - t) * 1000000 * i) // n AS at_us FROM spine")
 def pivot_sequential(spark, d):
-    return spine_rows(spark).select("ordinal", (F.col("t") * 1_000_000 + F.expr("((lt - t) * 1000000 * i) div n")).alias("at_us"))
+    return spine_rows(spark).select("ordinal", spine.sequential_time().alias("at_us"))
 
 
-@register(f"WITH {GRID} SELECT ordinal, strftime(make_timestamp((t + ((lt - t) * (i + 1)) // n) * 1000000), '%Y-%m-%d %H:%M:%S') || ' -0700 WINDBAG Event ' || (i + 1) || ' of ' || n AS raw FROM spine")
+_at = "t * 1000000 + ((lt - t) * 1000000 * (i + 1)) // n"
+_stamp = f"strftime(make_timestamp({_at}), '%Y-%m-%d %H:%M:%S') || CASE WHEN ({_at}) % 1000000 = 0 THEN '' ELSE '.' || lpad((({_at}) % 1000000)::VARCHAR, 6, '0') END"
+
+
+@register(f"WITH {GRID} SELECT ordinal, {_stamp} || ' -0700 WINDBAG Event ' || (i + 1) || ' of ' || n AS raw FROM spine")
 def windbag(spark, d):
-    at = F.timestamp_seconds(F.expr("t + ((lt - t) * (i + 1)) div n")).cast("timestamp_ntz")
-    return spine_rows(spark).select("ordinal", F.concat(timeexpr.strftime("%Y-%m-%d %H:%M:%S", at), F.lit(" -0700 WINDBAG Event "), (F.col("i") + 1).cast("string"), F.lit(" of "), F.col("n").cast("string")).alias("raw"))
+    return spine_rows(spark).select("ordinal", spine.windbag().alias("raw"))
 
 
-@register(f"WITH {GRID} SELECT ordinal, 'loop ' || (i + 1) || '/' || n || ' from 100 at ' || (100 + 5 * i) || ' to 900 by 5 in hourly' AS raw FROM spine")
+@register(f"WITH {GRID} SELECT ordinal, {_stamp} || ' loop ' || (i + 1) || '/' || n || ' from 100 at ' || CASE WHEN i % 2 = 0 THEN (100 + i * 5 // 2)::VARCHAR ELSE (100 + 2.5::DOUBLE * i)::VARCHAR END || ' to 900 by 2.5 in hourly' AS raw FROM spine")
 def counter_gen(spark, d):
-    raw = F.lit("loop {loop_count}/{max_loop} from {start_count} at {current_count} to {end_count} by {count_by} in {samplename}")
-    values = {"loop_count": F.col("i") + 1, "max_loop": F.col("n"), "start_count": F.lit(100), "current_count": 100 + 5 * F.col("i"), "end_count": F.lit(900), "count_by": F.lit(5), "samplename": F.lit("hourly")}
-    for k, v in values.items():
-        raw = F.replace(raw, F.lit("{" + k + "}"), v.cast("string"))
-    return spine_rows(spark).select("ordinal", raw.alias("raw"))
+    line = "{event_ts} loop {loop_count}/{max_loop} from {start_count} at {current_count} to {end_count} by {count_by} in {samplename}"
+    return spine_rows(spark).select("ordinal", spine.counter("hourly", line, 100.0, 900.0, 2.5).alias("raw"))
 
 
 @register(f"WITH {RAW} SELECT ordinal, regexp_replace(raw, 'user=\\d+', 'user=$x\\\\', 'g') AS raw FROM ev")
@@ -211,7 +214,7 @@ def tok_timestamp(spark, d):
 
 @register(f"WITH {RAW} SELECT ordinal, strftime(ts + to_seconds((-30 + {sql_draw('s', 'off')} % 331)::BIGINT), '%Y-%m-%dT%H:%M:%S') AS value FROM ev")
 def tok_offset(spark, d):
-    shift = F.make_dt_interval(secs=F.lit(-30) + below(draw(SEED, "s", "off", F.col("ordinal")), 331))
+    shift = F.make_dt_interval(secs=generate.shift("-30s", "5m", draw(SEED, "s", "off", F.col("ordinal"))))
     return raw_events(spark, d).select("ordinal", timeexpr.strftime("%Y-%m-%dT%H:%M:%S", F.col("ts") + shift).alias("value"))
 
 
@@ -232,7 +235,7 @@ _random("guid", "guid", f"substr({_g},1,8) || '-' || substr({_g},9,4) || '-4' ||
 _random("integer", "integer[180:24000]", f"(180 + {_d('integer')} % 23821)::VARCHAR")
 _k = f"(150 + {_d('float')} % 9851)"
 _random("float", "float[1.50:100.00]", f"regexp_replace(({_k} // 100) || '.' || lpad(({_k} % 100)::VARCHAR, 2, '0'), '(\\.\\d+?)0+$', '\\1')")
-_c = f"('0x' || substr(md5('{SEED}|s|string|' || ordinal || '|' || k), 1, 15))::BIGINT % {len(tokens.ALPHABET)}"
+_c = f"('0x' || substr(md5('{SEED}|s|string#' || ((k - 1) // 8) || '|' || ordinal), 1 + 4 * ((k - 1) % 8), 4))::BIGINT % {len(tokens.ALPHABET)}"
 _random("string", "string(12)", f"(SELECT string_agg(substr('{tokens.ALPHABET}', ({_c} + 1)::INT, 1), '' ORDER BY k) FROM range(1, 13) r(k))")
 _random("hex", "hex(20)", f"upper(substr({sql_md5('hex')}, 1, 20))")
 _random("list", 'list["GET","POST",3]', f"(['GET','POST','3'])[1 + {_d('list')} % 3]")
@@ -244,37 +247,56 @@ def tok_rated(spark, d):
     return raw_events(spark, d).select("ordinal", tokens.rated_integer(10, 100, f, SEED, "s", "rated", F.col("ordinal")).alias("value"))
 
 
+_rk = f"(100 + {_d('rated_float')} % 901) * ((hour(ts) % 4 + 1) * 0.5::DOUBLE)"
+
+
+@register(f"WITH {RAW}, r AS (SELECT ordinal, round_even({_rk}, 0)::BIGINT AS k FROM ev) SELECT ordinal, regexp_replace((k // 100) || '.' || lpad((k % 100)::VARCHAR, 2, '0'), '(\\.\\d+?)0+$', '\\1') AS value FROM r")
+def tok_rated_float(spark, d):
+    f = rate.factor(RATES, F.col("ts"), ("hourOfDayRate", "dayOfWeekRate"))
+    return raw_events(spark, d).select("ordinal", tokens.rated_float("1.00", "10.00", f, SEED, "s", "rated_float", F.col("ordinal")).alias("value"))
+
+
+@register("WITH e AS (SELECT event_id AS ordinal, 'k=' || event_type || '; v=' || user_id AS raw FROM events) SELECT ordinal, regexp_replace(regexp_replace(raw, '(k=)(click|view)', '\\1X'), '(v=)\\d+', '\\1X') AS raw FROM e")
+def tok_nested_group(spark, d):
+    """A pattern whose first group is alternated: its spans come from Python's matches."""
+    raw = F.concat(F.lit("k="), F.col("event_type"), F.lit("; v="), F.col("user_id").cast("string"))
+    return t(spark, d, "events").select(F.col("event_id").alias("ordinal"), tokens.rewrite(tokens.rewrite(raw, r"(?<=k=)((?:click|view))", F.lit("X")), r"v=((\d)+)", F.lit("X")).alias("raw"))
+
+
+def nations(spark, d) -> list[str]:
+    """nation as a file of tokens: the names in key order (25 rows)."""
+    return [r["n_name"] for r in t(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]
+
+
 @register(f"WITH {RAW}, f AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_name FROM nation), n AS (SELECT count(*) AS n FROM f) SELECT ordinal, n_name AS value FROM ev, n, f WHERE pos = {_d('file')} % n.n")
 def tok_file(spark, d):
-    rows = t(spark, d, "nation").select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).alias("pos"), "n_name")
-    return raw_events(spark, d).withColumn("pos", below(draw(SEED, "s", "file", F.col("ordinal")), rows.count())).join(rows, "pos").select("ordinal", F.col("n_name").alias("value"))
+    lines = nations(spark, d)
+    rows = generate.file_rows(spark, lines, [None])
+    return generate.with_file(raw_events(spark, d), rows, below(draw(SEED, "s", "file", F.col("ordinal")), len(lines))).select("ordinal", F.col("value_0").alias("value"))
 
 
 @register(
-    f"""WITH {RAW}, f AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_name, c_mktsegment FROM customer), n AS (SELECT count(*) AS n FROM f)
-SELECT ordinal, c_name AS value_1, c_mktsegment AS value_2 FROM ev, n, f WHERE pos = {_d('mvfile')} % n.n"""
+    f"""WITH {RAW}, f AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_name, n_regionkey FROM nation), n AS (SELECT count(*) AS n FROM f)
+SELECT ordinal, n_name AS value_1, n_regionkey::VARCHAR AS value_2, NULL::VARCHAR AS value_3 FROM ev, n, f WHERE pos = {_d('mvfile')} % n.n"""
 )
 def tok_mvfile(spark, d):
-    """Two columns of one file: one draw and one join for the file."""
-    rows = t(spark, d, "customer").select((F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("bigint").alias("pos"), F.col("c_name").alias("value_1"), F.col("c_mktsegment").alias("value_2"))
-    return raw_events(spark, d).withColumn("pos", below(draw(SEED, "s", "mvfile", F.col("ordinal")), rows.count())).join(rows, "pos").select("ordinal", "value_1", "value_2")
+    """Two columns of one file, and one that it lacks: one draw and one join for the file."""
+    lines = [f"{r['n_name']}, {r['n_regionkey']}" for r in t(spark, d, "nation").orderBy("n_nationkey").collect()]
+    rows = generate.file_rows(spark, lines, [1, 2, 3])
+    return generate.with_file(raw_events(spark, d), rows, below(draw(SEED, "s", "mvfile", F.col("ordinal")), len(lines))).select("ordinal", "value_1", "value_2", "value_3")
 
 
 RANKED = "SELECT ordinal, row_number() OVER (ORDER BY ordinal) - 1 AS r FROM ev WHERE raw LIKE '%type=click%'"
 
 
 def _matched(spark, d) -> DataFrame:
-    """Rank among the matching events without a global sort: per block counts, their running sums, ranks inside blocks."""
-    hit = raw_events(spark, d).where(F.col("raw").contains("type=click")).withColumn("block", F.expr("ordinal div 4096"))
-    before = hit.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("block").orderBy("ordinal")) - 1
-    return hit.withColumn("r", inside).join(before.select("block", "before"), "block").select("ordinal", (F.col("before") + F.col("r")).cast("bigint").alias("r"))
+    return spine.match_rank(raw_events(spark, d), F.col("raw").contains("type=click")).where("r IS NOT NULL").select("ordinal", "r")
 
 
 @register(f"WITH {RAW}, m AS ({RANKED}), f AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_name FROM nation), n AS (SELECT count(*) AS n FROM f) SELECT ordinal, n_name AS value FROM m, n, f WHERE pos = r % n.n")
 def tok_seqfile(spark, d):
-    rows = t(spark, d, "nation").select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).alias("pos"), "n_name")
-    return _matched(spark, d).withColumn("pos", F.pmod("r", F.lit(rows.count()))).join(rows, "pos").select("ordinal", F.col("n_name").alias("value"))
+    lines = nations(spark, d)
+    return generate.with_file(_matched(spark, d), generate.file_rows(spark, lines, [None]), F.pmod("r", F.lit(len(lines)))).select("ordinal", F.col("value_0").alias("value"))
 
 
 @register(f"WITH {RAW}, m AS ({RANKED}) SELECT ordinal, 100 + r AS value FROM m")
@@ -342,39 +364,38 @@ def strptime_extract(spark, d):
     return t(spark, d, "events").select("event_id", timeexpr.strptime("%d/%b/%Y:%H:%M:%S", F.regexp_extract(line, r"\[(.*)\]", 1)).alias("parsed"))
 
 
-PATTERNS = ("customer.*", "Customer#0+1.*", ".*5", "Customer#000000007", "none")
-_files = "files AS (SELECT c_name AS file FROM customer), pats AS (SELECT unnest([" + ",".join(f"'{p}'" for p in PATTERNS) + "]) AS pattern), m AS (SELECT file, pattern FROM files, pats WHERE regexp_full_match(file, pattern))"
+#: The nations as sample files of a pack, and a conf over them: sections, each with what it sets.
+CONF = "[DEFAULT]\ninterval = 7\n[global]\nsourcetype = glob\ninterval = 5\nhost = g\n[.*]\nsource = any\ntoken.0.token = G\ntoken.0.replacementType = static\ntoken.0.replacement = g\n[.*A]\nsourcetype = ends\ndisabled = false\n[I.*]\ncount = 4\ndisabled = 1\n[C.*A]\nhost = c\ntoken.0.token = C\ntoken.0.replacementType = static\ntoken.0.replacement = c\n[KENYA]\nhost = own\n[nothing]\nhost = x\n"
+PATTERNS = (".*", ".*A", "C.*A", "KENYA", "nothing")
+_files = "files AS (SELECT n_name AS file FROM nation), pats AS (SELECT unnest([" + ",".join(f"'{p}'" for p in PATTERNS) + "]) AS pattern), m AS (SELECT file, pattern FROM files, pats WHERE regexp_full_match(file, pattern))"
+_one = f"{_files}, one AS (SELECT file, s.p AS pattern, all_ FROM (SELECT file, max({{'e': pattern = file, 'n': length(pattern), 'p': pattern}}) AS s, list(pattern) AS all_ FROM m GROUP BY file))"
 
 
-def _matches(spark, d) -> DataFrame:
-    """Each pattern is a literal of a filter over the file names: as many narrow passes as patterns, no theta join."""
-    names = t(spark, d, "customer").select(F.col("c_name").alias("file"))
-    found = F.array_compact(F.array(*[F.when(F.col("file").rlike(f"^(?:{p})\\z"), F.lit(p)) for p in PATTERNS]))
-    return names.select("file", F.explode(found).alias("pattern"))
+def _pack(spark, d) -> list[conf.Stanza]:
+    """The stanzas of CONF with the nations' names as sample files: the loader itself, on the driver, as for any conf."""
+    parsed = ini.parse(ini.render(ini.parse(CONF)))
+    sections = {n: parsed.defaults | k for n, k in parsed.sections.items() if n != "global"}
+    names = nations(spark, d)
+    return conf.resolve(sections, parsed.defaults | parsed.sections["global"] | parsed.defaults, lambda where: [generate.Path(n) for n in names])
 
 
 @register(f"WITH {_files} SELECT * FROM m")
 def conf_match(spark, d):
-    return _matches(spark, d)
+    names = nations(spark, d)
+    return spark.createDataFrame([(n, p) for p in PATTERNS for n in conf.matched(p, names)], "file string, pattern string")
 
 
-@register(f"WITH {_files} SELECT file, pattern FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.file = b.file AND (b.pattern = b.file, length(b.pattern), b.pattern) > (a.pattern = a.file, length(a.pattern), a.pattern))")
+@register(f"WITH {_one} SELECT file, pattern, CASE WHEN pattern = '.*' THEN 'G' WHEN pattern = 'C.*A' THEN 'C,G,G,G' WHEN pattern = '.*A' THEN 'G,G' ELSE 'G,G,G' END AS tokens FROM one")
 def conf_flatten(spark, d):
-    """For each file the exact stanza, else the longest one; the dominated ones go."""
-    m = _matches(spark, d)
-    best = F.max(F.struct((F.col("pattern") == F.col("file")).alias("exact"), F.length("pattern").alias("n"), F.col("pattern").alias("pattern"))).alias("b")
-    return m.groupBy("file").agg(best).select("file", F.col("b.pattern").alias("pattern"))
+    """For each file the exact stanza, else the longest one, with the tokens of those it dominates behind its own, inherited ones too."""
+    return spark.createDataFrame([(s.name, s.stanza, ",".join(t.token for t in s.tokens)) for s in _pack(spark, d)], "file string, pattern string, tokens string")
 
 
-@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN 'global-' || c_nationkey ELSE 'eventgen' END AS sourcetype, CASE WHEN c_custkey % 5 = 0 THEN '5' ELSE '60' END AS interval FROM customer")
+@register(f"WITH {_one} SELECT file, CASE WHEN list_contains(all_, '.*A') THEN 'ends' ELSE 'glob' END AS sourcetype, '7' AS interval, CASE pattern WHEN 'KENYA' THEN 'own' WHEN 'C.*A' THEN 'c' ELSE 'g' END AS host, '-1' AS count, 'any' AS source, 'main' AS index FROM one")
 def conf_layering(spark, d):
-    """defaults, under global, under the stanza: a customer is a stanza that may set its sourcetype."""
-    layer = lambda on, **kv: F.when(on, F.map_from_arrays(F.array(*map(F.lit, kv)), F.array(*kv.values()))).otherwise(F.create_map().cast("map<string,string>"))
-    base = F.create_map(F.lit("sourcetype"), F.lit("eventgen"), F.lit("interval"), F.lit("60"))
-    shared = layer(F.col("c_custkey") % 5 == 0, sourcetype=F.concat(F.lit("global-"), F.col("c_nationkey").cast("string")), interval=F.lit("5"))
-    own = layer(F.col("c_custkey") % 3 == 0, sourcetype=F.col("c_mktsegment"))
-    pick = lambda k: F.coalesce(F.try_element_at(own, F.lit(k)), F.try_element_at(shared, F.lit(k)), F.try_element_at(base, F.lit(k))).alias(k)
-    return t(spark, d, "customer").select("c_custkey", pick("sourcetype"), pick("interval"))
+    """Packaged defaults, under global ones, under DEFAULT, under the stanza's own; a disabled stanza counts for nothing."""
+    keys = ("sourcetype", "interval", "host", "count", "source", "index")
+    return spark.createDataFrame([(s.name, *(s.settings[k] for k in keys)) for s in _pack(spark, d)], "file string, " + ", ".join(f"{k} string" for k in keys))
 
 
 SNAPS = ("s", "m", "h", "d", "mon", "q", "y", "w0", "w1", "w2", "w3", "w4", "w5", "w6")
@@ -519,24 +540,43 @@ def sink_counter_histogram(spark, d):
     return sinks.histogram(raw_events(spark, d).withColumn("time_us", F.unix_micros(F.col("ts").cast("timestamp"))))
 
 
-@register(
-    """WITH e AS (SELECT doc_id, lang, source, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE source END AS cell FROM documents) SELECT doc_id, coalesce(cell, lang) AS host FROM e"""
-)
+@register("SELECT n_nationkey::BIGINT AS line_no, n_name || ', \"' || n_regionkey || '\"' || chr(10) || 'x' AS raw, strlen(n_name)::BIGINT + 8 AS size, CASE n_nationkey % 3 WHEN 0 THEN '' ELSE n_name END AS host, 'main' AS index FROM nation")
 def csv_meta_fallback(spark, d):
-    """A present empty cell stays; a missing one falls back to the stanza's value."""
-    cell = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.col("source"))
-    return t(spark, d, "documents").select("doc_id", F.coalesce(cell, F.col("lang")).alias("host"))
+    """nation written as a CSV sample and read back: quotes, commas and line breaks inside a cell; an empty cell stays, a missing column falls back to the stanza's value."""
+    rows = t(spark, d, "nation").orderBy("n_nationkey").collect()
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    text = "_raw,host\n" + "".join(quoted(f'{r["n_name"]}, "{r["n_regionkey"]}"\nx') + "," + ("" if r["n_nationkey"] % 3 == 0 else r["n_name"]) + "\n" for r in rows) + "short\n"
+    frame = samples.frame(spark, samples.rows_of(text, "csv"))
+    return frame.select("line_no", "raw", "size", "host", F.coalesce("index", F.lit("main")).alias("index"))
 
 
-@register("SELECT doc_id, (unnest(list_filter(string_split(text, chr(10)), lambda x: x <> ''))) AS raw FROM documents")
+@register("SELECT doc_id, raw, strlen(raw)::BIGINT + 1 AS size FROM (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: x <> '')) AS raw FROM documents)")
 def raw_lines(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.explode(F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: x != "")).alias("raw"))
+    return samples.line_rows(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "raw", "size")
 
 
-@register("SELECT doc_id, length(text) - length(replace(text, chr(10) || 'T', 'T')) + 1 AS n_events FROM documents")
+@register("WITH p AS (SELECT doc_id, unnest(string_split_regex(replace(text, chr(10) || 'T', chr(1) || 'T'), chr(1))) AS raw FROM documents), q AS (SELECT doc_id, regexp_replace(raw, '[\\r\\n]+$', '') AS raw FROM p) SELECT doc_id, raw, strlen(raw)::BIGINT + 1 AS size FROM q WHERE raw <> ''")
 def breaker_split(spark, d):
     """Events run from one match of the breaker to the next."""
-    return t(spark, d, "documents").select("doc_id", F.size(F.split("text", r"(?m)\n(?=^T)")).cast("bigint").alias("n_events"))
+    return samples.line_rows(t(spark, d, "documents").select("doc_id", "text"), "text", "^T").select("doc_id", "raw", "size")
+
+
+@register(f"WITH {RAW}, x AS (SELECT *, '<event><time>' || (epoch_us(ts) // 1000000) || '</time></event>' AS x FROM ev) SELECT (sum(length(x)))::BIGINT AS chars, true AS wrapped FROM x")
+def sink_modinput(spark, d):
+    """Batches of at most 512 events, each in a stream element: what is between them is what went in."""
+    xml = F.concat(F.lit("<event><time>"), envelope.time_text(F.unix_micros(F.col("ts").cast("timestamp")), True), F.lit("</time></event>"))
+    got = sinks.modinput_batches(raw_events(spark, d).select(xml.alias("xml")))
+    inner = F.regexp_extract("stream", "(?s)^<stream>(.*)</stream>$", 1)
+    return got.agg(F.sum(F.char_length(inner)).cast("bigint").alias("chars"), F.min(F.col("stream").startswith("<stream><event>")).alias("wrapped"))
+
+
+@register(f"WITH {CUSTOMER} SELECT line_no, raw, 'user=<id> seg=' || split_part(raw, 'seg=', 2) AS rendered FROM lines")
+def template_render(spark, d):
+    """Lines compiled into literals and slots, and rendered from them."""
+    rows = [(r["line_no"], r["raw"]) for r in sample(spark, d).collect()]  # a sample file
+    compiled, shapes = template.compile_lines([x for _, x in rows], [r"user=(\d+)"])
+    frame = spark.createDataFrame([(i, x, *c) for (i, x), c in zip(rows, compiled)], f"line_no long, raw string, {template.FIELDS}")
+    return frame.select("line_no", "raw", template.render(shapes, [F.lit("<id>")]).alias("rendered"))
 
 
 @register(

@@ -10,8 +10,10 @@ from .ini import parse
 
 #: Defaults of a stanza's settings.
 DEFAULTS = {
-    "interval": "60", "count": "-1", "earliest": "now", "latest": "now", "index": "main", "sourcetype": "eventgen", "host": "127.0.0.1", "outputMode": "modinput", "generator": "default", "sampletype": "raw",
-    "timeMultiple": "1", "fileMaxBytes": "10485760", "fileBackupFiles": "5", "breaker": r"[^\r\n\s]+", "delay": "0", "randomizeCount": "0", "randomizeEvents": "false", "bundlelines": "false", "disabled": "false", "mode": "sample",
+    "disabled": "false", "debug": "false", "verbosity": "false", "spoolDir": "$SPLUNK_HOME/var/spool/splunk", "spoolFile": "<SAMPLE>", "breaker": r"[^\r\n\s]+", "mode": "sample", "sampletype": "raw", "interval": "60", "delay": "0",
+    "timeMultiple": "1", "count": "-1", "earliest": "now", "latest": "now", "randomizeEvents": "false", "outputMode": "modinput", "fileMaxBytes": "10485760", "fileBackupFiles": "5", "splunkPort": "8089", "splunkMethod": "https",
+    "index": "main", "sourcetype": "eventgen", "host": "127.0.0.1", "generator": "default", "rater": "config", "generatorWorkers": "1", "outputWorkers": "1", "timeField": "_raw", "threading": "thread", "profiler": "false",
+    "maxIntervalsBeforeFlush": "3", "maxQueueLength": "0", "useOutputQueue": "false", "autotimestamp": "false", "httpeventWaitResponse": "true", "disableLoggingQueue": "true", "splitSample": "0",
 }
 FIELDS = ("token", "replacementType", "replacement", "offsetMin", "offsetMax")
 RATES = ("hourOfDayRate", "dayOfWeekRate", "minuteOfHourRate")
@@ -122,27 +124,55 @@ def post_rules(s: Stanza) -> Stanza:
 def load(path: str | Path, only: str | None = None, overrides: dict[str, str] | None = None) -> list[Stanza]:
     """The stanzas to run, a row for each (stanza, sample file). only: a pattern of stanza names. overrides win over everything."""
     sections, shared, folder = read_layers(path)
+
+    def listed(where: str | None) -> list[Path]:
+        at = Path(where) if where else folder
+        at = at if at.is_absolute() else folder.parent / at
+        return sorted(f for f in at.iterdir() if f.is_file()) if at.is_dir() else []
+
+    return resolve(sections, shared, listed, only, overrides)
+
+
+def matched(pattern: str, names: list[str]) -> list[str]:
+    """The file names that a stanza's name spans whole, in order of name."""
+    return sorted(n for n in names if matches(pattern, n))
+
+
+def resolve(sections: dict[str, dict[str, str]], shared: dict[str, str], listed, only: str | None = None, overrides: dict[str, str] | None = None) -> list[Stanza]:
+    """The stanzas of layered sections; listed(sampleDir or None) gives the sample files there."""
     sections = {n: k for n, k in sections.items() if not truthy(k.get("disabled", "false"))}
     raw: list[Stanza] = []
     for name, (keys, tokens) in inherit(sections).items():
         if only and not matches(only, name):
             continue
         settings = DEFAULTS | shared | keys
-        where = Path(settings["sampleDir"]) if "sampleDir" in settings else folder
-        where = where if where.is_absolute() else folder.parent / where
-        files = sorted(f for f in where.iterdir() if f.is_file() and matches(name, f.name)) if where.is_dir() else []
+        found = {f.name: f for f in listed(settings.get("sampleDir"))}
+        files = [found[n] for n in matched(name, list(found))]
         if not files and settings["generator"] in ("default", "replay"):
             continue
         host = Token(0, keys["host.token"], "file", keys["host.replacement"]) if {"host.token", "host.replacement"} <= keys.keys() else None
         for f in files or [None]:
             raw.append(Stanza(name, f.name if f else name, f, dict(settings), list(tokens), set(keys), host))
+    out = flatten(raw)
+    for s in out:
+        post_rules(s)
+        s.settings |= overrides or {}
+        if overrides and "count" in overrides:
+            for k in ("backfill", "backfillEnd"):
+                if k not in overrides:
+                    s.settings.pop(k, None)
+    return out
+
+
+def flatten(raw: list[Stanza]) -> list[Stanza]:
+    """For each file the exact stanza, else the longest one; the settings that the others set fill what it doesn't, and their tokens follow its own."""
     out: list[Stanza] = []
     for path_ in dict.fromkeys(s.path for s in raw):
         group = [s for s in raw if s.path == path_]
         if path_ is None:
             out += group
             continue
-        best = max(group, key=lambda s: (s.stanza == path_.name, len(s.stanza)))
+        best = max(group, key=lambda s: (s.stanza == path_.name, len(s.stanza), s.stanza))
         for other in reversed([s for s in group if s is not best]):
             for k in other.explicit:
                 if k not in best.explicit and not k.startswith("token."):
@@ -150,11 +180,4 @@ def load(path: str | Path, only: str | None = None, overrides: dict[str, str] |
             base = max((t.index for t in best.tokens), default=-1) + 1
             best.tokens += [Token(base + i, *(getattr(t, f) for f in FIELDS)) for i, t in enumerate(other.tokens)]
         out.append(best)
-    for s in out:
-        post_rules(s)
-        s.settings |= overrides or {}
-        if overrides and "count" in overrides:
-            for k in ("backfill", "backfillEnd"):
-                if k not in overrides:
-                    s.settings.pop(k, None)
     return out
