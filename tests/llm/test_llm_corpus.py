@@ -89,6 +89,25 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_of_a_shared_passage(spark, monkeypatch):
+    """4,000 documents of one passage and some words of their own, none linked: no pair is compared; 30 copies among them are found."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(88))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(16 + i % 3))) for i in range(4000)]
+    rows += [(5000 + i, rows[7 * i][1] + " z") for i in range(30)]
+    compared = []
+    real = minhash._estimated
+
+    def counting(pairs, cand, k):
+        compared.append(pairs.count())
+        return real(pairs, cand, k)
+
+    monkeypatch.setattr(minhash, "_estimated", counting)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8), width=4).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {5000 + i: 7 * i for i in range(30)}
+    assert sum(compared) < 6 * len(rows), compared
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, x) for x in range(201, 260)]

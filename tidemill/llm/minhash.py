@@ -11,7 +11,7 @@ documents share are mostly not indexed. Within a list no
 pairs are enumerated. The first round links each member with the list's head, the document with the fewest values of its own,
 which is the likely original. Members of lists that still hold two components get a second index, over the rarest shingles of
 their full sets, with the positional bound of prefix-filtered joins: what lies before the rarest shared shingle is in no
-intersection, so members that can reach no other are never paired. Its rounds link the members with 4, 32, 256, ... leaders that then leave their lists,
+intersection, so members that can reach no other are never paired: those that can't reach the smallest set of their list leave it before it is read. Its rounds link the members with 4, 32, 256, ... leaders that then leave their lists,
 until no list holds two components; their number is logarithmic in the longest list. A group of n near copies costs about n pairs.
 """
 
@@ -71,18 +71,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     fits = f"100 * least(i, li) >= {percent} * (n + ln - least(i, li))"
     leaders = 4
     while True:
-        order = Window.partitionBy("value").orderBy(F.desc("c"), F.desc("i"), "rep")
-        ranked = stored(spark, _mixed(lists).withColumn("r", F.row_number().over(order)))
+        open_ = stored(spark, _reachable(_mixed(lists), percent))
         dropped(spark, lists)
-        if ranked.isEmpty():
-            dropped(spark, ranked)
+        if open_.isEmpty():
+            dropped(spark, open_)
             break
-        lead = ranked.where(F.col("r") <= leaders).selectExpr("value", "rep AS lead", "c AS lc", "r AS lr", "n AS ln", "i AS li")
-        # a leader meets each later member of another component once
-        pairs = ranked.join(lead, "value").where(f"c <> lc AND r > lr AND {fits}").selectExpr("least(rep, lead) AS a", "greatest(rep, lead) AS b").distinct()
+        order = Window.partitionBy("value").orderBy(F.desc("c"), F.desc("i"), "rep")
+        # the limit on the rank is applied by each task before the lists are dealt, so a long list meets in no task
+        first = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
+        lead = stored(spark, first.selectExpr("value", "rep AS lead", "c AS lc", "n AS ln", "i AS li"))
+        # those behind a leader in another component have a smaller one
+        pairs = open_.join(lead, "value").where(f"c < lc AND {fits}").selectExpr("least(rep, lead) AS a", "greatest(rep, lead) AS b").distinct()
         links, comp = _linked(spark, pairs, cand, percent, k, links, comp)
-        lists = stored(spark, _with_component(ranked.where(F.col("r") > leaders).select("value", "rep", "n", "i"), comp))
-        dropped(spark, ranked)
+        rest = open_.join(lead.selectExpr("value", "lead AS rep"), ["value", "rep"], "left_anti")
+        lists = stored(spark, _with_component(rest.select("value", "rep", "n", "i"), comp))
+        dropped(spark, open_, lead)
         leaders *= 8
     dropped(spark, cand)
 
@@ -124,6 +127,12 @@ def _mixed(lists: DataFrame) -> DataFrame:
     return lists.join(lists.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value"), "value")
 
 
+def _reachable(lists: DataFrame, percent: int) -> DataFrame:
+    """The members that can link with the smallest set of their list, and so with any: an intersection of at most i makes percent of a union with it. Lists of a passage that many documents share, and nothing else, go whole."""
+    small = lists.groupBy("value").agg(F.min("n").alias("least"))
+    return lists.join(small, "value").where(f"{100 + percent} * i >= {percent} * (n + least)").drop("least")
+
+
 def _linked(spark: SparkSession, pairs: DataFrame, cand: DataFrame, percent: int, k: int, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
     """links and their components, with those of pairs that hold."""
     close = stored(spark, _estimated(pairs, cand, k))
