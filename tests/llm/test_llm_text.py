@@ -245,6 +245,29 @@ def test_extract_boilerplate_inside():
                 assert extract.main_text(page) == "Title\nFirst.\nSecond.", (top, box, text)
 
 
+def test_extract_by_the_cut(spark):
+    """Short unmarked blocks follow their neighbours: a subtitle between paragraphs stays, a line of links' labels between boilerplate goes."""
+    para = "A paragraph of the story that is long enough to speak for itself, with several clauses and a good deal of detail in each of them. "
+    page = f"<body><div id='top'><div class='nav'>Home</div><div>Log in</div><div class='ad'>Buy</div></div><div><p>{para}</p><p>A subtitle</p><p>{para}</p><p>The end</p></div><div class='footer'><p>About</p></div><div>Imprint</div></body>"
+    got = extract.labelled(page)
+    assert extract.main_text(page) == "\n".join([para.strip(), "A subtitle", para.strip(), "The end"])
+    assert [t for t, x, k in got if k and x < 0] == ["A subtitle", "The end"] and {t for t, _, k in got if not k} == {"Home", "Log in", "Buy", "About", "Imprint"}
+    assert extract.main_text("<p>Hello</p><p>there</p>") == "Hello\nthere"
+    row = extract.extract(spark.createDataFrame([(page, 7)], "html string, n_flipped int")).first()
+    assert row["n_flipped"] == 2 and row["text"].startswith("A paragraph")
+
+
+def test_extract_takes_linear_time():
+    import time
+
+    for bad in ("<a \"x ", "<a 'x ", "<a \"x <!-- ", "<", "<a b=\">", "</p '", "<![CDATA["):
+        for tail in ("", "'>", ">"):
+            began = time.perf_counter()
+            extract.main_text("<p>Text</p>" + bad * (1_000_000 // len(bad)) + tail)
+            assert time.perf_counter() - began < 8, (bad, tail)
+    assert [b[0] for b in extract.blocks("<p>One</p><a href=\"x>two</a><p>Three</p>")] == ["One", "two", "Three"]
+
+
 def test_extract_tables(spark, small):
     """On the given pages the article's own blocks, and nothing else."""
     for r in spark.read.parquet(f"{small}/pages.parquet").collect():

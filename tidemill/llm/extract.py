@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 
 from .batches import cut, with_fields
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENS = re.compile(r"<(?=[!?/a-zA-Z])")
+ASIDES = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 #: Element names by their part in a page.
@@ -46,8 +49,9 @@ GOOD = frozenset("article content main post entry story body text maintext artic
 WORDS = re.compile(r"[a-z]+")
 
 #: Weights of the block classifier (positive: content), and of the smoothness edges.
-W_BAD, W_EDGE, W_ARTICLE, W_GOOD, W_BASE, W_LINKS, W_LONG = -9.0, -6.0, 6.0, 2.0, 0.6, -2.5, 1.5
+W_BAD, W_EDGE, W_ARTICLE, W_GOOD, W_BASE, W_LINKS, W_LONG, W_SHORT = -9.0, -6.0, 6.0, 2.0, 0.6, -2.5, 1.5, -0.45
 NEAR, SAME = 0.3, 0.5
+SHORT = 40  # characters below which an unmarked block alone says nothing for content
 
 
 class _Open:
@@ -88,6 +92,18 @@ def _child(parent: _Open, tag: str, attrs: str, key: int) -> _Open:
     return _Open(tag, bad, article, good, key if tag in CONTAINERS else parent.key, lasting)
 
 
+def _next_tag(page: str, at: int):
+    """The next tag or comment. A tag whose quotes don't close ends at the next >; without one, what follows is text. Each character is read a few times at most."""
+    while m := OPENS.search(page, at):
+        found = ASIDES.match(page, m.start()) or TAG.match(page, m.start()) or LOOSE.match(page, m.start())
+        if found:
+            return found
+        if page.find(">", m.start()) < 0:
+            return None
+        at = m.end()
+    return None
+
+
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """Text, score and container of each text block, in page order."""
     out: list[tuple[str, float, int]] = []
@@ -105,7 +121,8 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             if text:
                 top = stack[-1]
                 # a mark of boilerplate nearer than the article leaves none of the article's credit
-                score = W_BASE + (top.bad or (W_ARTICLE if top.article else 0.0) + (W_GOOD if top.good else 0.0))
+                plain = not (top.bad or top.article or top.good)
+                score = W_SHORT if plain and len(text) < SHORT else W_BASE + (top.bad or (W_ARTICLE if top.article else 0.0) + (W_GOOD if top.good else 0.0))
                 share = min(1.0, linked / len(text))
                 if not top.article and share > 0.6:
                     score += W_LINKS
@@ -115,7 +132,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         linked = 0
 
     while at < end:
-        m = TAG.search(page, at)
+        m = _next_tag(page, at)
         stop = m.start() if m else end
         if stop > at:
             piece = page[at:stop]
@@ -125,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        if m.re is ASIDES:
             continue
         tag = m[2].lower()
         if tag in RAW:
@@ -234,10 +251,14 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                 break
 
 
-def main_text(page: str | None) -> str:
+def labelled(page: str | None) -> list[tuple[str, float, bool]]:
+    """Text, score and label (content or not, by the minimum cut) of each block.
+
+    Where nothing on a page is marked as content or long, short unmarked blocks count as content as well.
+    """
     got = blocks(page) if page else []
-    if not got:
-        return ""
+    if got and max(x for _, x, _ in got) <= 0:
+        got = [(t, W_BASE if x == W_SHORT else x, key) for t, x, key in got]
     edges, last = [], {}
     for i, (_, _, key) in enumerate(got):
         if i:
@@ -245,23 +266,31 @@ def main_text(page: str | None) -> str:
         if key in last and last[key] != i - 1:
             edges.append((last[key], i, SAME))
         last[key] = i
-    # without an article the classifier's base score keeps unmarked blocks
-    keep = min_cut([s for _, s, _ in got], edges)
-    return "\n".join(t for (t, _, _), k in zip(got, keep) if k)
+    return [(t, x, k) for (t, x, _), k in zip(got, min_cut([x for _, x, _ in got], edges))] if got else []
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(t for t, _, k in labelled(page) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with text (the main text, empty if there is none); an older column text is replaced.
+    """pages with text (the main text, empty if there is none) and n_flipped (blocks whose label the cut has changed from what their own score says);
+    older columns of these names are replaced.
 
-    Null and empty pages give an empty text. Repeated rows each come back. An empty table gives an empty result.
+    Long pages are read in time that grows with their length, unclosed tags and quotes included. Null and empty pages give an empty text. Repeated rows each come back. An empty table gives an empty result.
     """
-    keep = [c for c in pages.columns if c != "text" or c == html_col]
-    names = [c for c in keep if c != "text"] + ["text"]
+    new = ("text", "n_flipped")
+    keep = [c for c in pages.columns if c not in new or c == html_col]
+    names = [c for c in keep if c not in new] + list(new)
     source = pages.select(*keep)
 
     def run(batches):
         for b in cut(batches, html_col):
-            out = pa.array([main_text(x) for x in b.column(html_col).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([out if c == "text" else b.column(c) for c in names], names=names)
+            got = [labelled(x) for x in b.column(html_col).to_pylist()]
+            out = {
+                "text": pa.array(["\n".join(t for t, _, k in page if k) for page in got], pa.string()),
+                "n_flipped": pa.array([sum(k != (x > 0) for _, x, k in page) for page in got], pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays([out[c] if c in new else b.column(c) for c in names], names=names)
 
-    return source.mapInArrow(run, with_fields(source.select(*[c for c in keep if c != "text"]).schema, "text string"))
+    return source.mapInArrow(run, with_fields(source.select(*[c for c in keep if c not in new]).schema, "text string, n_flipped long"))

@@ -33,7 +33,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return got.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_flipped")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
