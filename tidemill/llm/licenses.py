@@ -6,7 +6,7 @@ lists of a few entries and travel in the plan as literals. A known sentence may
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,23 +116,26 @@ def scan(docs: DataFrame, text_col: str = "text", known: dict[str, str] = SENTEN
 
     Columns of docs with these names are replaced. n_sentences counts lines of wrapped sentences one by one. A sentence that is known as a
     whole counts once, else each of its known lines does. license: the first rule whose identifiers occur in order, other sentences
-    between them allowed; none if no rule is met. Null and empty texts have no sentence. An empty table gives an empty result.
+    between them allowed; none if no rule is met. Null and empty texts have no sentence. An empty table gives an empty result;
+    repeated rows each count, long texts are read whole, and other columns of any name stay.
     """
     new = ["n_sentences", "sentence_ids", "n_known", "license"]
+    lower = {c.lower() for c in docs.columns}
+    split, hits, joined = (next(n for k in count() if (n := f"{base}{k or ''}") not in lower) for base in ("split", "hits", "joined"))
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
-    cut = docs.select(*[c for c in docs.columns if c not in new], sentences(F.col(text_col)).alias("__s"))
+    cut = docs.select(*[c for c in docs.columns if c not in new], sentences(F.col(text_col)).alias(split))
     look = lambda s: F.try_element_at(table, s)
     whole = lambda g: F.when(F.size(g) > 1, look(F.array_join(g, " ")))
-    found = F.transform("__s", lambda g: F.when(whole(g).isNotNull(), F.array(whole(g))).otherwise(F.transform(g, look)))
-    hits = F.filter(F.flatten(found), lambda x: x.isNotNull())
-    joined = cut.select("*", hits.alias("__h")).select("*", F.concat(F.lit(","), F.array_join("__h", ",,"), F.lit(",")).alias("__j"))
+    found = F.transform(split, lambda g: F.when(whole(g).isNotNull(), F.array(whole(g))).otherwise(F.transform(g, look)))
+    known_ids = cut.select("*", F.filter(F.flatten(found), lambda x: x.isNotNull()).alias(hits))
+    ruled = known_ids.select("*", F.concat(F.lit(","), F.array_join(hits, ",,"), F.lit(",")).alias(joined))
     verdict = F.lit("none")
     for name, ids in reversed(rules):
-        verdict = F.when(F.col("__j").like("%," + ",%,".join(x.replace("_", r"\_") for x in ids) + ",%"), F.lit(name)).otherwise(verdict)
-    return joined.select(
-        *[c for c in cut.columns if c != "__s"],
-        F.size(F.flatten("__s")).cast("bigint").alias("n_sentences"),
-        F.array_join("__h", ",").alias("sentence_ids"),
-        F.size("__h").cast("bigint").alias("n_known"),
+        verdict = F.when(F.col(joined).like("%," + ",%,".join(x.replace("_", r"\_") for x in ids) + ",%"), F.lit(name)).otherwise(verdict)
+    return ruled.select(
+        *[c for c in cut.columns if c != split],
+        F.size(F.flatten(split)).cast("bigint").alias("n_sentences"),
+        F.array_join(hits, ",").alias("sentence_ids"),
+        F.size(hits).cast("bigint").alias("n_known"),
         verdict.alias("license"),
     )
