@@ -140,6 +140,12 @@ def test_quality_features(spark, small, edges):
     assert [[r[c] for c in quality.FEATURES] for r in got] == [list(naive_quality(r["text"] or "")) for r in got]
 
 
+def test_licenses_clashing_names(spark):
+    docs = spark.sql("SELECT 1 AS doc_id, 'x' AS text, 2 AS split, 3 AS Hits, 4 AS joined, 5 AS __s, 6 AS license")
+    got = licenses.scan(docs.union(docs)).collect()
+    assert len(got) == 2 and got[0].asDict() == {"doc_id": 1, "text": "x", "split": 2, "Hits": 3, "joined": 4, "__s": 5, "n_sentences": 1, "sentence_ids": "", "n_known": 0, "license": "none"}
+
+
 def test_quality_order_does_not_matter(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     one = quality.measure(docs)
@@ -154,6 +160,13 @@ def test_quality_keeps_labelled_good(spark, medium):
     assert got.where("quality = 0 AND NOT kept").count() > 0
 
 
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "word " * 30_000), (2, None), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
+    assert len(quality.measure(docs)) == len(quality.RULES) == len(quality.measure(docs.where("doc_id = 1")))
+    assert {m.name: m.rejected for m in quality.measure(docs)}["short"] == 1.0
+    assert {r["doc_id"]: r["rejected_by"] for r in quality.cascade(docs, order=[]).collect()} == {1: "repeats", 2: "short", 3: "short"}
+
+
 def test_quality_empty(spark, empty):
     assert quality.cascade(empty, features=True).count() == 0
 
@@ -175,6 +188,33 @@ def test_language_held_out(spark, medium, edges, empty):
     assert langid.predict(empty, p).count() == 0
 
 
+def test_language_rerun(spark, small):
+    """op9 against prototypes, labels and cosines made text by text in plain Python; bundling in small flushes changes nothing."""
+    docs = docs_of(spark, small)
+    v = langid.vectors(1024, 11)
+    symbol = lambda c: 0 if not c.isalpha() else ord(c.lower()[0]) - 96 if "a" <= c.lower()[0] <= "z" else 27 + ord(c.lower()[0]) % 101
+
+    def vector(text):
+        s = [symbol(c) for c in f" {text} "]
+        s = [b for a, b in zip([1, *s], s) if a or b]
+        n = Counter(zip(s, s[1:], s[2:]))
+        return sum((k * v.first[a].astype(float) * v.second[b] * v.third[c] for (a, b, c), k in n.items()), np.zeros(1024))
+
+    one = {d: vector(r["text"] or "") for d, r in docs.items()}
+    taught = {d for d, r in docs.items() if zlib.crc32(str(d).encode()) % 5 and r["lang"] is not None}
+    langs = sorted({docs[d]["lang"] for d in taught})
+    proto = np.stack([sum(one[d] for d in taught if docs[d]["lang"] == x) for x in langs])
+    proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+    for r in queries.op9_language(spark, small).collect():
+        cos = proto @ one[r["doc_id"]] / max(np.linalg.norm(one[r["doc_id"]]), 1e-9)
+        if not any(c.isalpha() for c in docs[r["doc_id"]]["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert abs(r["score"] - max(0, cos.max())) < 1e-5 and cos[langs.index(r["lang_pred"])] > cos.max() - 1e-5
+    p = langid.fit(spark.read.parquet(f"{small}/documents.parquet").where(F.col("doc_id").isin(list(taught))), waiting_codes=500)
+    assert p.languages == langs and np.abs(p.matrix - proto).max() < 1e-6
+
+
 def test_language_is_the_bundle(spark):
     """The gathered counts give the very vector that binding and bundling letter by letter gives."""
     v = langid.vectors(64, 11)

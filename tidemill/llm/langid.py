@@ -5,8 +5,9 @@ permuted (rotated) by position; a text bundles (adds) its trigrams; a language's
 training texts. A document gets the language whose prototype has the largest cosine with its vector.
 
 Scale: two passes of map tasks over the texts. Training sends one vector a task and language to a grouped sum; the
-driver gets one row for each (language, dimension), however many documents there are. A task's trigrams
-are counted before they are multiplied out, so the work per text is one gather of its distinct trigrams.
+driver gets one row for each (language, dimension), however many documents there are: 8 KB a language there and in each
+task. A training task counts the trigrams of the language it holds most of before it multiplies them out; one table of
+counts (16 MB) serves all languages.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,43 +85,47 @@ class Profiles:
     seed: int
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = 1024, seed: int = 11) -> Profiles:
-    """Prototypes of the non-null languages of docs. Rows without text, letters or language teach nothing."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: int = 1024, seed: int = 11, waiting_codes: int = 8_000_000) -> Profiles:
+    """Prototypes of the non-null languages of docs. Rows without text, letters or language teach nothing.
+
+    Repeated rows teach once each. An empty table gives no language. Other columns of docs, whatever their names, are not read.
+    waiting_codes: trigrams a task holds, of four bytes each, before it bundles those of the language with most; the result is the same.
+    """
 
     def bundle(batches):
-        counts: dict[str, np.ndarray] = {}
+        v = vectors(dims, seed)
+        totals: dict[str, np.ndarray] = {}
         waiting: dict[str, list[np.ndarray]] = {}
+        held: dict[str, int] = {}
 
         def merge(lang):
-            got = np.bincount(np.concatenate(waiting.pop(lang)), minlength=SYMBOLS**3)
-            counts[lang] = counts[lang] + got if lang in counts else got
+            c = np.bincount(np.concatenate(waiting.pop(lang)), minlength=SYMBOLS**3)
+            seen = np.flatnonzero(c)
+            total = totals.setdefault(lang, np.zeros(dims))
+            for at in range(0, len(seen), 4096):
+                part = seen[at : at + 4096]
+                total += c[part].astype(np.float64) @ v.make(part)
+            del held[lang]
 
-        held: dict[str, int] = {}
         for b in cut(batches, "text", max_bytes=1 << 20):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 codes = trigrams(text)
                 waiting.setdefault(lang, []).append(codes)
-                held[lang] = held.get(lang, 0) + len(codes)
-                if held[lang] > 1_000_000:
-                    merge(lang)
-                    held[lang] = 0
-        v = vectors(dims, seed)
+                held[lang] = held.get(lang, 0) + len(codes) + 16
+            while sum(held.values()) > waiting_codes:
+                merge(max(held, key=held.get))
         for lang in list(waiting):
             merge(lang)
-        for lang, c in counts.items():
-            seen = np.flatnonzero(c)
-            total = np.zeros(dims)
-            for at in range(0, len(seen), 4096):
-                part = seen[at : at + 4096]
-                total += c[part].astype(np.float64) @ v.make(part)
+        for lang, total in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "v": [total]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sums = rows.mapInArrow(releasing(bundle, vectors), "lang string, v array<double>").selectExpr("lang", "posexplode(v) AS (i, x)").groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    got = sums.toPandas()
-    langs = sorted(set(got["lang"]))
+    got = sums.toArrow()
+    langs = sorted(pc.unique(got["lang"]).to_pylist())
     matrix = np.zeros((len(langs), dims))
-    matrix[[langs.index(x) for x in got["lang"]], got["i"].to_numpy(dtype=int)] = got["x"]
+    row = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy()
+    matrix[row, got["i"].to_numpy()] = got["x"].to_numpy()
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     keep = norm[:, 0] > 0
     return Profiles([x for x, k in zip(langs, keep) if k], (matrix[keep] / norm[keep]).astype(np.float32), dims, seed)
